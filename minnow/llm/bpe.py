@@ -29,7 +29,7 @@ from minnow.llm.cluster import ship
 #: First of the 256 characters that stand for bytes.
 FIRST = 0x100
 #: Distinct pre-tokens that a worker keeps.
-MEMO = 200_000
+MEMO = 400_000
 
 
 def varint(n: int) -> bytes:
@@ -92,17 +92,17 @@ class Codec:
             for t, ids in zip(rest, self.model.encode(mapped, num_threads=1), strict=True):
                 self.memo[t] = self.of_piece[ids].astype("<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[str], group: int = 64) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; pre-tokens are learned by groups of texts."""
         out = []
-        for text in texts:
-            tokens = self.split(text)
-            if new := [t for t in dict.fromkeys(tokens) if t not in self.memo]:
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                    new = list(dict.fromkeys(tokens))
-                self.learn(new)
-            out.append(b"".join(map(self.memo.__getitem__, tokens)))
+        for at in range(0, len(texts), group):
+            split = [self.split(x) for x in texts[at : at + group]]
+            seen = set().union(*split)
+            if len(self.memo) > MEMO and not seen <= self.memo.keys():
+                self.memo.clear()
+            if new := seen - self.memo.keys():
+                self.learn(list(new))
+            out += [b"".join(map(self.memo.__getitem__, tokens)) for tokens in split]
         return out
 
     def decode(self, ids: bytes) -> bytes:
