@@ -40,8 +40,10 @@ BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
 #: Counters of the sketch; frequencies under FLOOR of the documents count as FLOOR, far over the sketch's noise.
 SKETCH, PART, FLOOR, DAMP, LEVELS = 1 << 22, 1 << 16, 1e-3, 0.15, 16
-#: Samples that must agree for a pair to be verified: four standard deviations under the threshold.
-AGREE = int(HASHES * (THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / HASHES) ** 0.5))
+#: Standard deviation of the agreeing samples of a pair at the threshold; how many must agree for a pair
+#: to be verified: 2.25 deviations under the threshold, and 1 for two texts that failed against one leader.
+SPREAD = (HASHES * THRESHOLD * (1 - THRESHOLD)) ** 0.5
+AGREE, AGREE_FAILED = int(HASHES * THRESHOLD - 2.25 * SPREAD), int(HASHES * THRESHOLD - SPREAD)
 #: Texts of a bucket compared in one task.
 GROUP = 2048
 BLOCK = 1 << 20
@@ -189,12 +191,18 @@ def signatures(docs: DataFrame, level: np.ndarray) -> DataFrame:
 
 
 def cluster(table: pa.Table) -> pa.Table:
-    """Pairs (leader, member) of one bucket or part of it; with more than one part also (leader, null) for the next level."""
+    """Pairs (leader, member) of one bucket or part of it; with more than one part also (leader, null) for the next level.
+
+    Texts come in order of their agreement with the most frequent samples, so that a group's middle leads.
+    """
     table = table.sort_by("key")
-    keys, n = table.column("key").to_pylist(), table.num_rows
+    n, bucket, parts = table.num_rows, table.column("bucket")[0].as_py(), table.column("parts")[0].as_py()
     marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(n, HASHES)
-    bucket, parts = table.column("bucket")[0].as_py(), table.column("parts")[0].as_py()
-    led, a, b = np.zeros(n, bool), [], []
+    if n > 2:
+        middle = np.array([np.bincount(marks[:, k], minlength=256).argmax() for k in range(HASHES)], np.uint8)
+        order = np.argsort(-(marks == middle).sum(axis=1), kind="stable")
+        table, marks = table.take(pa.array(order)), marks[order]
+    keys, led, a, b = table.column("key").to_pylist(), np.zeros(n, bool), [], []
     for i in range(n):
         if led[i]:
             continue
@@ -225,7 +233,8 @@ def candidates(texts: DataFrame) -> DataFrame:
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
-    return stored(out.distinct())
+    ends = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stored(out.select(ends.alias("p")).select("p.*").distinct())
 
 
 def multisets(docs: DataFrame) -> DataFrame:
@@ -268,42 +277,47 @@ def verified(pairs: DataFrame, sets: DataFrame, level: np.ndarray) -> DataFrame:
 
 
 def rescue(table: pa.Table) -> pa.Table:
-    """For one leader and part: each narrowly failed text with the members of other classes that agree best, one a class."""
-    failed = table.filter(pc.field("failed")).to_pylist()
-    members = table.filter(~pc.field("failed")).to_pylist()
+    """For one leader and part: each narrowly failed text with the best agreeing linked text of every other class, and with failed texts."""
+    asking, asked = table.filter(pc.field("asks")).to_pylist(), table.filter(~pc.field("asks")).to_pylist()
     a, b = [], []
-    if failed and members:
-        marks = np.frombuffer(b"".join(x["marks"] for x in members), np.uint8).reshape(-1, HASHES)
-        for x in failed:
+    if asking and asked:
+        marks = np.frombuffer(b"".join(x["marks"] for x in asked), np.uint8).reshape(-1, HASHES)
+        failed = np.array([x["failed"] for x in asked])
+        for x in asking:
             agree = (marks == np.frombuffer(x["marks"], np.uint8)).sum(axis=1)
-            best: dict[bytes, int] = {}
-            for j in np.argsort(-agree, kind="stable"):
-                if agree[j] < AGREE:
-                    break
-                if members[j]["root"] != x["root"] and members[j]["key"] != x["key"]:
-                    best.setdefault(members[j]["root"], int(j))
-            a += [min(x["key"], members[j]["key"]) for j in best.values()]
-            b += [max(x["key"], members[j]["key"]) for j in best.values()]
+            near = np.flatnonzero(agree >= np.where(failed, AGREE_FAILED, AGREE))
+            best: dict[bytes, bytes] = {}
+            for j in near[np.argsort(-agree[near], kind="stable")]:
+                y = asked[j]
+                if y["root"] != x["root"] and best.setdefault(y["root"], y["key"]) is y["key"]:
+                    a.append(min(x["key"], y["key"]))
+                    b.append(max(x["key"], y["key"]))
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
 def narrow_misses(checked: DataFrame, roots: DataFrame, marks: DataFrame) -> DataFrame:
-    """Further pairs: texts that failed against a leader, with the members of the leader's class.
+    """Further pairs: texts that failed against a leader, with the other texts that met this leader.
 
     By the triangle inequality only a similarity over 2 * THRESHOLD - 1 to the leader leaves room for a link to its members.
     """
-    root = lambda c: F.coalesce("root", c).alias("root")
-    failed = checked.filter((F.col("similarity") < THRESHOLD) & (F.col("similarity") > 2 * THRESHOLD - 1))
-    failed = failed.select(F.col("a").alias("leader"), F.col("b").alias("key")).union(failed.select(F.col("b").alias("leader"), F.col("a").alias("key")))
-    failed = failed.join(roots, failed["key"] == roots["node"], "left").select("leader", "key", root("key"))
-    good = checked.filter(F.col("similarity") >= THRESHOLD)
-    good = good.select(F.col("a").alias("leader"), F.col("b").alias("key")).union(good.select(F.col("b").alias("leader"), F.col("a").alias("key")))
-    good = good.join(failed.select("leader").distinct(), "leader", "left_semi").join(roots, good["key"] == roots["node"], "left").select("leader", "key", root("key"))
-    parts = good.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    good = good.join(parts, "leader").select("leader", "key", "root", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("failed"))
-    failed = failed.join(parts, "leader").select("leader", "key", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("failed"))
-    rows = good.union(failed).join(marks, "key").select("leader", "salt", "key", "root", "failed", "marks")
-    return rows.groupBy("leader", "salt").applyInArrow(rescue, "a binary, b binary").distinct()
+    met = checked.filter(F.col("similarity") > 2 * THRESHOLD - 1).select("*", (F.col("similarity") < THRESHOLD).alias("failed"))
+    met = met.select(F.col("a").alias("leader"), F.col("b").alias("key"), "failed").union(met.select(F.col("b").alias("leader"), F.col("a").alias("key"), "failed"))
+    parts = met.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"), F.count("*").alias("n"), F.max("failed").alias("any")).filter("any and n > 1")
+    met = met.join(parts.drop("any", "n"), "leader").join(roots, F.col("key") == F.col("node"), "left").select("leader", "key", F.coalesce("root", "key").alias("root"), "failed", "parts").join(marks, "key")
+    asked = met.select("leader", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("salt"), "key", "root", "failed", "marks", F.lit(False).alias("asks"))
+    asking = met.filter("failed").select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "key", "root", "failed", "marks", F.lit(True).alias("asks"))
+    return asked.union(asking).groupBy("leader", "salt").applyInArrow(rescue, "a binary, b binary").distinct()
+
+
+def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """roots (node, root) after further links (a, b): only the classes they touch are joined anew."""
+    of = lambda c: F.coalesce("root", c)
+    ends = more.join(roots, F.col("a") == F.col("node"), "left").select(of("a").alias("a"), "b")
+    ends = ends.join(roots, F.col("b") == F.col("node"), "left").select("a", of("b").alias("b")).filter("a <> b")
+    new = components(ends).withColumnsRenamed({"node": "old", "root": "new"})
+    known = roots.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    single = new.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return stored(known.union(single))
 
 
 def links(docs: DataFrame, facts: DataFrame, level: np.ndarray) -> tuple[DataFrame, DataFrame]:
@@ -314,14 +328,19 @@ def links(docs: DataFrame, facts: DataFrame, level: np.ndarray) -> tuple[DataFra
     ids = texts.join(keys, "key", "left_semi").select(F.col("doc_id").alias("__id")).distinct()
     sets = stored(multisets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")))
     marks = texts.select("key", "marks")
+    alike = F.col("similarity") >= THRESHOLD
     checked = stored(verified(pairs, sets, level))
-    roots = components(checked.filter(F.col("similarity") >= THRESHOLD).select("a", "b"))
+    roots = stored(components(checked.filter(alike).select("a", "b")))
     while True:
         more = stored(narrow_misses(checked, roots, marks).join(checked, ["a", "b"], "left_anti"))
         if not more.take(1):
-            return checked.filter(F.col("similarity") >= THRESHOLD), roots
-        checked = stored(checked.union(verified(more, sets, level)))
-        roots = components(checked.filter(F.col("similarity") >= THRESHOLD).select("a", "b"))
+            break
+        new = stored(verified(more, sets, level))
+        checked = stored(checked.union(new))
+        if not new.filter(alike).take(1):
+            break
+        roots = merged(roots, new.filter(alike).select("a", "b"))
+    return checked.filter(alike), roots
 
 
 def classes(docs: DataFrame) -> DataFrame:
