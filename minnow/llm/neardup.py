@@ -8,7 +8,7 @@ Texts are multisets of five-word shingles with TF-IDF weights. Steps:
    only (greedy leader clustering, buckets over GROUP texts in salted parts, then their leaders).
 4. Each candidate pair is verified by weighted Jaccard similarity of the full shingle multisets.
 5. Components of the verified links are classes. A text whose candidate failed narrowly is compared
-   with the members of that leader's class too, until no class changes.
+   with the nearest members of that leader's class too, until no class changes.
 
 The inverse document frequency is damped to [1, 1 + DAMP]: with an undamped one, the shared text of
 a large group of copies weighs next to nothing and its members would no longer match.
@@ -44,6 +44,8 @@ SKETCH, PART, FLOOR, DAMP, LEVELS = 1 << 22, 1 << 16, 1e-3, 0.15, 16
 #: to be verified: 2.25 deviations under the threshold, and 1 for two texts that failed against one leader.
 SPREAD = (HASHES * THRESHOLD * (1 - THRESHOLD)) ** 0.5
 AGREE, AGREE_FAILED = int(HASHES * THRESHOLD - 2.25 * SPREAD), int(HASHES * THRESHOLD - SPREAD)
+#: Members of a class that a text which failed narrowly against one of them is compared with next.
+NEAREST = 8
 #: Texts of a bucket compared in one task.
 GROUP = 2048
 BLOCK = 1 << 20
@@ -277,36 +279,41 @@ def verified(pairs: DataFrame, sets: DataFrame, level: np.ndarray) -> DataFrame:
 
 
 def rescue(table: pa.Table) -> pa.Table:
-    """For one leader and part: each narrowly failed text with the best agreeing linked text of every other class, and with failed texts."""
+    """For one class and part: each text that asks, with the NEAREST members that agree best and with other asking texts."""
     asking, asked = table.filter(pc.field("asks")).to_pylist(), table.filter(~pc.field("asks")).to_pylist()
     a, b = [], []
     if asking and asked:
         marks = np.frombuffer(b"".join(x["marks"] for x in asked), np.uint8).reshape(-1, HASHES)
         failed = np.array([x["failed"] for x in asked])
+        roots = np.array([x["root"] for x in asked], object)
         for x in asking:
             agree = (marks == np.frombuffer(x["marks"], np.uint8)).sum(axis=1)
-            near = np.flatnonzero(agree >= np.where(failed, AGREE_FAILED, AGREE))
-            best: dict[bytes, bytes] = {}
-            for j in near[np.argsort(-agree[near], kind="stable")]:
-                y = asked[j]
-                if y["root"] != x["root"] and best.setdefault(y["root"], y["key"]) is y["key"]:
-                    a.append(min(x["key"], y["key"]))
-                    b.append(max(x["key"], y["key"]))
+            agree[roots == x["root"]] = 0
+            members = np.flatnonzero(~failed & (agree >= AGREE))
+            members = members[np.argsort(-agree[members], kind="stable")][:NEAREST]
+            for j in (*members, *np.flatnonzero(failed & (agree >= AGREE_FAILED))):
+                a.append(min(x["key"], asked[j]["key"]))
+                b.append(max(x["key"], asked[j]["key"]))
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
 def narrow_misses(checked: DataFrame, roots: DataFrame, marks: DataFrame) -> DataFrame:
-    """Further pairs: texts that failed against a leader, with the other texts that met this leader.
+    """Further pairs: texts that failed narrowly against a member of a class, with the other members and with each other.
 
-    By the triangle inequality only a similarity over 2 * THRESHOLD - 1 to the leader leaves room for a link to its members.
+    By the triangle inequality only a similarity over 2 * THRESHOLD - 1 leaves room for a link to a member's partners.
     """
-    met = checked.filter(F.col("similarity") > 2 * THRESHOLD - 1).select("*", (F.col("similarity") < THRESHOLD).alias("failed"))
-    met = met.select(F.col("a").alias("leader"), F.col("b").alias("key"), "failed").union(met.select(F.col("b").alias("leader"), F.col("a").alias("key"), "failed"))
-    parts = met.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"), F.count("*").alias("n"), F.max("failed").alias("any")).filter("any and n > 1")
-    met = met.join(parts.drop("any", "n"), "leader").join(roots, F.col("key") == F.col("node"), "left").select("leader", "key", F.coalesce("root", "key").alias("root"), "failed", "parts").join(marks, "key")
-    asked = met.select("leader", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("salt"), "key", "root", "failed", "marks", F.lit(False).alias("asks"))
-    asking = met.filter("failed").select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "key", "root", "failed", "marks", F.lit(True).alias("asks"))
-    return asked.union(asking).groupBy("leader", "salt").applyInArrow(rescue, "a binary, b binary").distinct()
+    met = checked.filter((F.col("similarity") > 2 * THRESHOLD - 1) & (F.col("similarity") < THRESHOLD))
+    met = met.select(F.col("a").alias("key"), F.col("b").alias("node")).union(met.select(F.col("b").alias("key"), F.col("a").alias("node")))
+    mine = roots.select(F.col("node").alias("key"), F.col("root").alias("mine"))
+    met = met.join(roots, "node").join(mine, "key", "left").select("key", F.col("root").alias("class"), F.coalesce("mine", "key").alias("root")).filter("root <> class").distinct()
+    parts = roots.join(met.select("class").distinct(), F.col("root") == F.col("class"), "left_semi").groupBy(F.col("root").alias("class")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    salt = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("salt")
+    met = met.join(parts, "class").join(marks, "key")
+    members = roots.join(parts, F.col("root") == F.col("class")).withColumnRenamed("node", "key").join(marks, "key")
+    columns = ("key", "root", "marks")
+    asked = members.select("class", salt, *columns, F.lit(False).alias("failed"), F.lit(False).alias("asks")).union(met.select("class", salt, *columns, F.lit(True), F.lit(False)))
+    asking = met.select("class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), *columns, F.lit(True), F.lit(True))
+    return asked.union(asking).groupBy("class", "salt").applyInArrow(rescue, "a binary, b binary").distinct()
 
 
 def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
