@@ -286,33 +286,43 @@ def rescue(table: pa.Table) -> pa.Table:
         marks = np.frombuffer(b"".join(x["marks"] for x in asked), np.uint8).reshape(-1, HASHES)
         failed = np.array([x["failed"] for x in asked])
         roots = np.array([x["root"] for x in asked], object)
+        # Of two asking texts the one with the lesser key names the pair.
+        twin = {x["key"] for x in asking}
+        named = np.array([x["key"] if x["failed"] and x["key"] in twin else b"" for x in asked], object)
         for x in asking:
             agree = (marks == np.frombuffer(x["marks"], np.uint8)).sum(axis=1)
             agree[roots == x["root"]] = 0
             members = np.flatnonzero(~failed & (agree >= AGREE))
             members = members[np.argsort(-agree[members], kind="stable")][:NEAREST]
-            for j in (*members, *np.flatnonzero(failed & (agree >= AGREE_FAILED))):
+            others = np.flatnonzero(failed & (agree >= AGREE_FAILED))
+            for j in (*members, *(j for j in others if not named[j] or x["key"] < named[j])):
                 a.append(min(x["key"], asked[j]["key"]))
                 b.append(max(x["key"], asked[j]["key"]))
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def narrow_misses(checked: DataFrame, roots: DataFrame, marks: DataFrame) -> DataFrame:
-    """Further pairs: texts that failed narrowly against a member of a class, with the other members and with each other.
+def narrow_misses(checked: DataFrame, fresh: DataFrame, roots: DataFrame, marks: DataFrame) -> DataFrame:
+    """Further pairs: texts of the fresh pairs that failed narrowly against a member of a class, with the other members and with each other.
 
     By the triangle inequality only a similarity over 2 * THRESHOLD - 1 leaves room for a link to a member's partners.
     """
-    met = checked.filter((F.col("similarity") > 2 * THRESHOLD - 1) & (F.col("similarity") < THRESHOLD))
-    met = met.select(F.col("a").alias("key"), F.col("b").alias("node")).union(met.select(F.col("b").alias("key"), F.col("a").alias("node")))
     mine = roots.select(F.col("node").alias("key"), F.col("root").alias("mine"))
-    met = met.join(roots, "node").join(mine, "key", "left").select("key", F.col("root").alias("class"), F.coalesce("mine", "key").alias("root")).filter("root <> class").distinct()
+
+    def failed_against(pairs: DataFrame) -> DataFrame:
+        met = pairs.filter((F.col("similarity") > 2 * THRESHOLD - 1) & (F.col("similarity") < THRESHOLD))
+        met = met.select(F.col("a").alias("key"), F.col("b").alias("node")).union(met.select(F.col("b").alias("key"), F.col("a").alias("node")))
+        met = met.join(roots, "node").join(mine, "key", "left")
+        return met.select("key", F.col("root").alias("class"), F.coalesce("mine", "key").alias("root")).filter("root <> class").distinct()
+
+    met = failed_against(fresh)
     parts = roots.join(met.select("class").distinct(), F.col("root") == F.col("class"), "left_semi").groupBy(F.col("root").alias("class")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     salt = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("salt")
-    met = met.join(parts, "class").join(marks, "key")
+    asks = met.join(parts, "class").join(marks, "key")
+    failed = failed_against(checked).join(parts, "class").join(marks, "key")
     members = roots.join(parts, F.col("root") == F.col("class")).withColumnRenamed("node", "key").join(marks, "key")
     columns = ("key", "root", "marks")
-    asked = members.select("class", salt, *columns, F.lit(False).alias("failed"), F.lit(False).alias("asks")).union(met.select("class", salt, *columns, F.lit(True), F.lit(False)))
-    asking = met.select("class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), *columns, F.lit(True), F.lit(True))
+    asked = members.select("class", salt, *columns, F.lit(False).alias("failed"), F.lit(False).alias("asks")).union(failed.select("class", salt, *columns, F.lit(True), F.lit(False)))
+    asking = asks.select("class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), *columns, F.lit(True), F.lit(True))
     return asked.union(asking).groupBy("class", "salt").applyInArrow(rescue, "a binary, b binary").distinct()
 
 
@@ -338,8 +348,9 @@ def links(docs: DataFrame, facts: DataFrame, level: np.ndarray) -> tuple[DataFra
     alike = F.col("similarity") >= THRESHOLD
     checked = stored(verified(pairs, sets, level))
     roots = stored(components(checked.filter(alike).select("a", "b")))
+    new = checked
     while True:
-        more = stored(narrow_misses(checked, roots, marks).join(checked, ["a", "b"], "left_anti"))
+        more = stored(narrow_misses(checked, new, roots, marks).join(checked, ["a", "b"], "left_anti"))
         if not more.take(1):
             break
         new = stored(verified(more, sets, level))
