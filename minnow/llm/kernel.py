@@ -17,7 +17,7 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C55)
 INVERSE = U64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 #: Bytes that one block holds at most, unless a single text is longer.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

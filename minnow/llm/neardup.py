@@ -48,7 +48,7 @@ AGREE, AGREE_FAILED = int(HASHES * THRESHOLD - 2.25 * SPREAD), int(HASHES * THRE
 NEAREST = 8
 #: Texts of a bucket compared in one task.
 GROUP = 2048
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 SLOTS = 1 << 14
 
 
@@ -87,7 +87,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
                 n += len(np.unique(rows))
                 held.append(shingle & np.uint32(SKETCH - 1))
                 size += len(shingle)
-                if size > SKETCH:
+                if size > SKETCH // 4:
                     total += np.bincount(np.concatenate(held), minlength=SKETCH)
                     held, size = [], 0
         if held:
