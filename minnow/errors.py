@@ -33,3 +33,7 @@ class LimitExceededError(EngineError):
 
 class ExecutionError(EngineError):
     """Spark could not run a plan; the cause is not shown."""
+
+
+class MetadataError(EngineError):
+    """A metadata file that is malformed, or that does not fit the catalog."""
