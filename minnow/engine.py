@@ -58,6 +58,9 @@ class Engine:
     purposes: dict[str, str] = field(default_factory=dict)
     glossary: dict[str, str] = field(default_factory=dict)
     now: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    #: Values that the index keeps of a column, and samples of a column with more; no values at all with a cap of 0.
+    index_cap: int = 200
+    index_samples: int = 3
     _index: DataFrame | None = None
 
     @property
@@ -89,9 +92,9 @@ class Engine:
             parts = []
             for t in self.catalog.tables.values():
                 columns = [c.name for c in self.policy.usable(t) if c.kind in TEXTUAL]
-                if columns and not self.scope(t.name):
-                    parts.append(retrieval.value_index(t.frame, t.name, columns))
-            out = parts[0]
+                if self.index_cap and columns and not self.scope(t.name):
+                    parts.append(retrieval.value_index(t.frame, t.name, columns, self.index_cap, self.index_samples))
+            out = parts[0] if parts else self.spark.createDataFrame([], retrieval.INDEX_SCHEMA)
             for p in parts[1:]:
                 out = out.unionByName(p)
             self._index = out.persist()

@@ -265,6 +265,8 @@ class Metadata:
             for table in words(x.get("tables")):
                 catalog.table(table)
             terms |= {term: x.text for term in (x.name, *words(x.get("synonyms")))}
+        cap = int(self.project.get("value_index_max_distinct", str(Engine.index_cap))) if self.project.get("value_index", "on") == "on" else 0
+        more = {"index_cap": cap, "index_samples": int(self.project.get("samples_per_column", str(Engine.index_samples)))} | more
         return Engine(spark, full, policy=Policy(frozenset(hidden), frozenset(sensitive)), concepts=concepts, measures=measures, searchable=searchable, purposes=purposes, glossary=terms, **more)
 
 

@@ -71,6 +71,9 @@ def ranked(df: DataFrame, key: str, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
+INDEX_SCHEMA = "table string, column string, value string, n long, rank long, complete boolean"
+
+
 def value_index(frame: DataFrame, table: str, columns: list[str], cap: int = 200, samples: int = 3) -> DataFrame:
     """table, column, value, n, rank, complete: the distinct values of each column by frequency, all of them up to cap, else samples.
 

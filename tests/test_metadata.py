@@ -127,3 +127,12 @@ def test_edits(spark, catalog, store):
     (store.root / "tables/sales.md").write_text(text.replace("Stage.", "Other."))
     with pytest.raises(MetadataError):
         editor.edit_table("sales", purpose="New.")
+
+
+def test_project_settings_reach_the_value_index(spark, catalog, store):
+    (store.root / "project.md").write_text("# project\n\nformat: 1\nvalue_index_max_distinct: 1\nsamples_per_column: 1\n")
+    rows = store.load().apply(spark, catalog).value_index().collect()
+    assert {(r["table"], r["column"], r["value"], r["complete"]) for r in rows} == {("buyers", "name", "Ann", False), ("sales", "state", "open", False)}
+    (store.root / "project.md").write_text("# project\n\nformat: 1\nvalue_index: off\n")
+    e = store.load().apply(spark, catalog)
+    assert e.value_index().count() == 0 and e.get_context("which sales are open")["values"] == []
