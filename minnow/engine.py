@@ -6,6 +6,7 @@ import datetime as dt
 import decimal
 import json
 import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -45,6 +46,38 @@ def cell(value: Any, most: int) -> Any:
     return text if len(text) <= most else text[:most] + "…"
 
 
+@dataclass(frozen=True)
+class Statement:
+    """What the audit hook learns of an executed request: its shape and size, never a value of a filter or a row."""
+
+    command: str
+    shape: str
+    values: int
+    seconds: float
+    rows: int
+
+
+def shape(spec: QuerySpec) -> str:
+    """The request as JSON, its filters without their values."""
+    return json.dumps({
+        "table": spec.table, "columns": list(spec.columns), "filters": [[f.column, f.op] for f in spec.filters], "concepts": list(spec.concepts),
+        "group_by": list(spec.group_by), "measures": [m.name for m in spec.measures], "order": [o.by for o in spec.order],
+    })
+
+
+def answered(version: str, tools: dict[str, Callable[..., dict]], name: str, arguments: dict[str, Any]) -> dict:
+    """The tool's answer in an envelope, or an error with suggestions; nothing is raised for a bad request."""
+    try:
+        if name not in tools:
+            raise UnknownNameError(f"unknown tool {name!r}", tuple(tools))
+        try:
+            return {"schema_version": version} | tools[name](**arguments)
+        except TypeError as e:
+            raise QuerySpecError(f"{name}: {str(e).partition('() ')[2] or 'bad arguments'}") from None
+    except EngineError as e:
+        return {"error": {"type": type(e).__name__, "message": str(e), "suggestions": list(e.suggestions)}}
+
+
 @dataclass
 class Engine:
     spark: SparkSession
@@ -61,6 +94,8 @@ class Engine:
     #: Values that the index keeps of a column, and samples of a column with more; no values at all with a cap of 0.
     index_cap: int = 200
     index_samples: int = 3
+    #: Called after every executed request; what it raises is not caught.
+    audit: Callable[[Statement], None] | None = None
     _index: DataFrame | None = None
 
     @property
@@ -105,13 +140,15 @@ class Engine:
     def query(self, **spec: Any) -> dict:
         parsed = QuerySpec.of(spec)
         plan = self.planner.plan(parsed)
-        out = self.fetched(plan)
+        out = self.fetched(plan, "query", shape(parsed), sum(len(f.value) if isinstance(f.value, tuple) else f.value is not None for f in parsed.filters))
         if not out["rows"]:
             out["notes"] += self.diagnose(parsed)
         return out
 
     def search_rows(self, table: str, term: str, columns: list[str] | None = None, match: str = "all", strategies: list[str] | None = None, limit: int | None = None) -> dict:
-        return self.fetched(self.plan_search(table, term, tuple(columns or ()), match, tuple(strategies or DEFAULT), limit)) | {"strategies": list(strategies or DEFAULT), "searched": list(columns or self.searchable.get(table, ()))}
+        plan = self.plan_search(table, term, tuple(columns or ()), match, tuple(strategies or DEFAULT), limit)
+        asked = json.dumps({"table": table, "columns": list(columns or ()), "match": match, "strategies": list(strategies or DEFAULT)})
+        return self.fetched(plan, "search_rows", asked, len(words_of(term, self.limits.max_search_tokens))) | {"strategies": list(strategies or DEFAULT), "searched": list(columns or self.searchable.get(table, ()))}
 
     def list_tables(self) -> dict:
         return {"tables": [self.summary(t) for t in self.catalog.tables.values()]}
@@ -163,11 +200,14 @@ class Engine:
                         notes.append(f"{f.column} has no {wanted!r}; near: {', '.join(near)}")
         return notes
 
-    def fetched(self, plan: Plan) -> dict:
+    def fetched(self, plan: Plan, command: str, asked: str, values: int) -> dict:
+        began = time.perf_counter()
         try:
             rows, more = plan.fetch()
         except PySparkException:
             raise ExecutionError("the query could not be run") from None
+        if self.audit:
+            self.audit(Statement(command, asked, values, time.perf_counter() - began, len(rows)))
         most = self.limits.max_cell_chars
         return {"columns": list(plan.columns), "rows": [[cell(v, most) for v in r] for r in rows], "truncated": more, "notes": list(plan.notes)}
 
@@ -188,16 +228,4 @@ class Engine:
         return found
 
     def dispatch(self, name: str, arguments: dict[str, Any], tier: str = "standard") -> dict:
-        """The tool's answer in an envelope, or an error with suggestions; nothing is raised for a bad request."""
-        try:
-            tools = self.tools(tier)
-            if name not in tools:
-                raise UnknownNameError(f"unknown tool {name!r}", tuple(tools))
-            try:
-                return {"schema_version": self.catalog.fingerprint} | tools[name](**arguments)
-            except TypeError as e:
-                raise QuerySpecError(f"{name}: {str(e).partition('() ')[2] or 'bad arguments'}") from None
-        except EngineError as e:
-            return {"error": {"type": type(e).__name__, "message": str(e), "suggestions": list(e.suggestions)}}
-
-
+        return answered(self.catalog.fingerprint, self.tools(tier), name, arguments)

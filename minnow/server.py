@@ -14,8 +14,9 @@ from pyspark.sql import SparkSession
 
 from minnow import tools
 from minnow.catalog import Catalog
-from minnow.engine import TIERS, Engine
-from minnow.metadata import Metadata, Store
+from minnow.editing import FULL, Workbench
+from minnow.engine import Engine
+from minnow.metadata import Editor, Metadata, Store
 from minnow.sources.tables import parquet_dir
 
 # Protocol version and error codes.
@@ -39,7 +40,7 @@ def no_constant(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
-def result(engine: Engine, method: str, params: dict[str, Any], tier: str) -> dict:
+def result(engine: Engine | Workbench, method: str, params: dict[str, Any], tier: str) -> dict:
     if method == "initialize":
         return {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "minnow", "version": engine.catalog.fingerprint}, "instructions": tools.instructions(engine, tier)}
     if method == "ping":
@@ -55,7 +56,7 @@ def result(engine: Engine, method: str, params: dict[str, Any], tier: str) -> di
     raise Refused(METHOD, f"unknown method {method!r}")
 
 
-def answer(engine: Engine, line: str, tier: str = "standard") -> str | None:
+def answer(engine: Engine | Workbench, line: str, tier: str = "standard") -> str | None:
     """The reply to a line; None for a notification."""
     key = None
     try:
@@ -85,11 +86,17 @@ def main() -> None:
     p.add_argument("data")
     p.add_argument("tables", type=lambda x: x.split(","))
     p.add_argument("--metadata")
-    p.add_argument("--tier", choices=TIERS, default="standard")
+    p.add_argument("--tier", choices=tools.ALL_TIERS, default="standard")
     a = p.parse_args()
+    if a.tier == FULL and not a.metadata:
+        p.error("--tier full edits the files of --metadata")
     spark = SparkSession.builder.appName("minnow").getOrCreate()
-    metadata = Store(a.metadata).load() if a.metadata else Metadata()
-    engine = metadata.apply(spark, Catalog(parquet_dir(spark, a.data, a.tables)))
+    catalog = Catalog(parquet_dir(spark, a.data, a.tables))
+    engine: Engine | Workbench
+    if a.tier == FULL:
+        engine = Workbench(Editor(Store(a.metadata), lambda m: m.apply(spark, catalog)))
+    else:
+        engine = (Store(a.metadata).load() if a.metadata else Metadata()).apply(spark, catalog)
     for line in sys.stdin:
         if line.strip() and (reply := answer(engine, line, a.tier)) is not None:
             print(reply, flush=True)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from typing import Any
 
+from minnow.editing import FULL, Workbench
 from minnow.engine import TIERS, Engine
 from minnow.operators.search import DEFAULT
 from minnow.plans.spec import FUNCTIONS, OPERATORS
 
+ALL_TIERS = (*TIERS, FULL)
 TEXT = {"type": "string"}
 NUMBER = {"type": "integer", "minimum": 1}
 
@@ -48,12 +50,19 @@ ADDED: dict[str, dict[str, tuple[str, dict]]] = {
             strategies=listed({"type": "string"}, f"Ways to compare; {', '.join(DEFAULT)} unless given."), limit=described(NUMBER, "Rows to return."),
         )),
     },
+    FULL: {
+        "edit_table": ("Describe a table.", record(("table",), table=TABLE, purpose=described(TEXT, "What its rows are."), description=described(TEXT, "Prose."), synonyms=described(TEXT, "Other names, with commas."))),
+        "edit_column": ("Describe a column.", record(("table", "column"), table=TABLE, column=described(TEXT, "Name of a column."), text=described(TEXT, "What it holds."), values=described(TEXT, "Known values, with commas."), synonyms=described(TEXT, "Other names, with commas."), searchable={"type": "boolean", "description": "Whether search_rows looks there."})),
+        "edit_relationship": ("Describe a relationship.", record(("table", "name", "text"), table=TABLE, name=described(TEXT, "Its name."), text=described(TEXT, "What it means."))),
+        "edit_concept": ("Define a named condition.", record(("table", "name", "text", "where"), table=TABLE, name=described(TEXT, "Its name."), text=described(TEXT, "What it means."), where=listed(FILTER, "All must hold."))),
+        "edit_glossary": ("Define a term.", record(("term", "definition"), term=TEXT, definition=TEXT, synonyms=described(TEXT, "Other names, with commas."), tables=described(TEXT, "Tables it concerns, with commas."))),
+    },
 }
 
 
 def specs(tier: str = "standard") -> dict[str, tuple[str, dict]]:
     """Tools of a tier and of those below it."""
-    return {name: spec for t in TIERS[: TIERS.index(tier) + 1] for name, spec in ADDED[t].items()}
+    return {name: spec for t in ALL_TIERS[: ALL_TIERS.index(tier) + 1] for name, spec in ADDED[t].items()}
 
 
 def plain(tier: str = "standard") -> list[dict]:
@@ -78,8 +87,8 @@ def function_calling(tier: str = "standard") -> list[dict]:
 
 
 def protocol(tier: str = "standard") -> list[dict]:
-    """As the model context protocol lists them; all tools only read."""
-    return [{"name": n, "description": text, "inputSchema": schema, "annotations": {"readOnlyHint": True, "destructiveHint": False, "openWorldHint": False}} for n, (text, schema) in specs(tier).items()]
+    """As the model context protocol lists them; all but the edits only read."""
+    return [{"name": n, "description": text, "inputSchema": schema, "annotations": {"readOnlyHint": n not in ADDED[FULL], "destructiveHint": False, "openWorldHint": False}} for n, (text, schema) in specs(tier).items()]
 
 
 def without_nulls(value: Any) -> Any:
@@ -89,15 +98,15 @@ def without_nulls(value: Any) -> Any:
     return [without_nulls(x) for x in value] if isinstance(value, list) else value
 
 
-def call(engine: Engine, name: str, arguments: dict[str, Any], tier: str = "standard") -> dict:
+def call(engine: Engine | Workbench, name: str, arguments: dict[str, Any], tier: str = "standard") -> dict:
     return engine.dispatch(name, without_nulls(arguments), tier)
 
 
-def instructions(engine: Engine, tier: str = "standard") -> str:
+def instructions(engine: Engine | Workbench, tier: str = "standard") -> str:
     """How to use the tools; no table of the data is named, so that it stays small and says nothing of hidden ones."""
     tools, lim = specs(tier), engine.limits
     lines = [
-        f"{len(engine.catalog.tables)} tables can be read with {', '.join(tools)}. Nothing can be changed.",
+        f"{len(engine.catalog.tables)} tables can be read with {', '.join(tools)}. {'Only descriptions' if tier == FULL else 'Nothing'} can be changed.",
         "Start with get_context and the user's question; use the names and values it gives as they are.",
         f"Join by dotted paths such as relationship.column, {lim.max_join_depth} relationships deep at most. Prefer named concepts and measures.",
         f"Answers hold {lim.max_rows} rows unless limit says otherwise, {lim.hard_max_rows} at most; truncated means that there are more.",
