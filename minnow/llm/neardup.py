@@ -9,6 +9,9 @@ Texts are multisets of five-word shingles with TF-IDF weights. Steps:
 4. Each candidate pair is verified by weighted Jaccard similarity of the full shingle multisets.
 5. Components of the verified links are classes. A text whose candidate failed narrowly is compared
    with the nearest members of that leader's class too, until no class changes.
+6. Then in each bucket every pair of texts that agree
+   and are in different classes is verified too, and the links found join their classes: so a class
+   is a component of all links of pairs that share a bucket and agree, whoever led.
 
 The inverse document frequency is damped to [1, 1 + DAMP]: with an undamped one, the shared text of
 a large group of copies weighs next to nothing and its members would no longer match.
@@ -46,6 +49,8 @@ SPREAD = (HASHES * THRESHOLD * (1 - THRESHOLD)) ** 0.5
 AGREE, AGREE_FAILED = int(HASHES * THRESHOLD - 2.25 * SPREAD), int(HASHES * THRESHOLD - SPREAD)
 #: Members of a class that a text which failed narrowly against one of them is compared with next.
 NEAREST = 8
+#: Columns of the rows that are compared across the classes of a bucket.
+MEETING = {"bucket": "long", "salt": "int", "key": "binary", "root": "binary", "outside": "boolean", "home": "int", "bands": "array<bigint>", "marks": "binary"}
 #: Texts of a bucket compared in one task.
 GROUP = 2048
 BLOCK = 1 << 19
@@ -218,14 +223,17 @@ def cluster(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array([bucket] * len(a), pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of keys of texts (key, bands, marks) that share a bucket and agree with its leaders."""
+def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of keys of texts (key, bands, marks) that share a bucket and agree with its leaders; bucket and key of all buckets of two texts or more."""
     marks = texts.select("key", "marks")
     member = texts.select("key", F.explode("bands").alias("bucket"))
-    found, size, schema = [], GROUP, "bucket long, a binary, b binary"
+    found, together, size, schema = [], None, GROUP, "bucket long, a binary, b binary"
     while True:
         counted = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = member.join(counted, "bucket").withColumn("parts", F.ceil(F.col("n") / size).cast("int")).withColumn("salt", F.pmod(F.xxhash64("key", F.lit(size)), F.col("parts")))
+        rows = member.join(counted, "bucket")
+        if together is None:
+            rows = together = stored(rows)
+        rows = rows.withColumn("parts", F.ceil(F.col("n") / size).cast("int")).withColumn("salt", F.pmod(F.xxhash64("key", F.lit(size)), F.col("parts")))
         pairs = stored(rows.join(marks, "key").select("bucket", "key", "marks", "parts", "salt").groupBy("bucket", "salt").applyInArrow(cluster, schema))
         found.append(pairs.filter("b is not null").select("a", "b"))
         member = pairs.filter("b is null").select(F.col("a").alias("key"), "bucket")
@@ -236,7 +244,7 @@ def candidates(texts: DataFrame) -> DataFrame:
     for x in found[1:]:
         out = out.union(x)
     ends = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return stored(out.select(ends.alias("p")).select("p.*").distinct())
+    return stored(out.select(ends.alias("p")).select("p.*").distinct()), together.select("bucket", "key")
 
 
 def multisets(docs: DataFrame) -> DataFrame:
@@ -254,14 +262,23 @@ def multisets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key binary, shingles binary").dropDuplicates(["key"])
 
 
+def weighed(x: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Distinct shingles of a sorted multiset, their weights and the sum of these."""
+    s, counts = np.unique(x, return_counts=True)
+    weights = counts * idf(level[s & np.uint32(SKETCH - 1)])
+    return s, weights, float(weights.sum())
+
+
+def jaccard(x: tuple[np.ndarray, np.ndarray, float], y: tuple[np.ndarray, np.ndarray, float]) -> float:
+    """Weighted Jaccard similarity of two weighed multisets."""
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    low = float(np.minimum(x[1][i], y[1][j]).sum())
+    return low / (x[2] + y[2] - low)
+
+
 def weighted_jaccard(x: np.ndarray, y: np.ndarray, level: np.ndarray) -> float:
     """Of two sorted multisets of shingles."""
-    sx, cx = np.unique(x, return_counts=True)
-    sy, cy = np.unique(y, return_counts=True)
-    common, i, j = np.intersect1d(sx, sy, assume_unique=True, return_indices=True)
-    weight = lambda s: idf(level[s & np.uint32(SKETCH - 1)])
-    low = float((np.minimum(cx[i], cy[j]) * weight(common)).sum())
-    return low / (float((cx * weight(sx)).sum()) + float((cy * weight(sy)).sum()) - low)
+    return jaccard(weighed(x, level), weighed(y, level))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, level: np.ndarray) -> DataFrame:
@@ -326,6 +343,74 @@ def narrow_misses(checked: DataFrame, fresh: DataFrame, roots: DataFrame, marks:
     return asked.union(asking).groupBy("class", "salt").applyInArrow(rescue, "a binary, b binary").distinct()
 
 
+def bucket_classes(together: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold texts of more than one class, dealt to parts of GROUP texts.
+
+    A bucket's main class is the one with most texts in it. Its texts are each in one part (home); the
+    others (outside) are in all parts, so that every pair of different classes meets in exactly one.
+    """
+    mine = together.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    sizes = mine.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("parts"), F.count("*").alias("classes"), F.max(F.struct("n", "root")).getField("root").alias("main")).filter("classes > 1")
+    rows = mine.join(mixed, "bucket").select("bucket", "key", "root", "parts", (F.col("root") != F.col("main")).alias("outside"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("home"))
+    salts = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))
+    return rows.withColumn("salt", F.explode(salts)).join(texts.select("key", "bands", "marks"), "key").select(*MEETING)
+
+
+def meetings(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows of a part in order of key: each outside row, the rows of other classes it is to be compared with here, and how many samples agree.
+
+    A pair that shares several buckets is compared in that of the first band; of two outside rows the lesser key's home counts.
+    """
+    n, bucket, salt = table.num_rows, table.column("bucket")[0].as_py(), table.column("salt")[0].as_py()
+    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(n, HASHES)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(n, BANDS)
+    roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+    outside, home = table.column("outside").to_numpy(), table.column("home").to_numpy()
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    for i in np.flatnonzero(outside):
+        agree = (marks == marks[i]).sum(axis=1)
+        here = (agree >= AGREE) & (roots != roots[i])
+        here &= ~outside | (np.arange(n) > i) & (home[i] == salt)
+        others = np.flatnonzero(here)
+        others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
+        if len(others):
+            yield i, others, agree[others]
+
+
+def apart(table: pa.Table) -> pa.Table:
+    """The rows of one part of a bucket that are to be compared with a row of another class."""
+    table = table.sort_by("key")
+    used = np.zeros(table.num_rows, bool)
+    for i, others, _ in meetings(table):
+        used[i] = used[others] = True
+    return table.filter(pa.array(used))
+
+
+def bridges(table: pa.Table, level: np.ndarray) -> pa.Table:
+    """Links (a, b) of one part of a bucket that join different classes: every pair not yet joined is verified, the likeliest first."""
+    table = table.sort_by("key")
+    keys, sets, known, a, b = table.column("key").to_pylist(), table.column("shingles"), {}, [], []
+    label = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+
+    def of(i: int) -> tuple[np.ndarray, np.ndarray, float]:
+        if i not in known:
+            known[i] = weighed(np.frombuffer(sets[i].as_buffer(), np.uint32), level)
+        return known[i]
+
+    for i, others, agree in meetings(table):
+        for j in others[np.argsort(-agree, kind="stable")]:
+            if label[i] == label[j]:
+                continue
+            x, y = of(int(i)), of(int(j))
+            # The ratio of the totals is an upper bound of the similarity.
+            if min(x[2], y[2]) >= THRESHOLD * max(x[2], y[2]) and jaccard(x, y) >= THRESHOLD:
+                a.append(min(keys[i], keys[j]))
+                b.append(max(keys[i], keys[j]))
+                label[label == label[j]] = label[i]
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
 def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
     """roots (node, root) after further links (a, b): only the classes they touch are joined anew."""
     of = lambda c: F.coalesce("root", c)
@@ -337,13 +422,16 @@ def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
     return stored(known.union(single))
 
 
-def links(docs: DataFrame, facts: DataFrame, level: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs of keys of different texts, and the components of their keys (node, root)."""
+def links(docs: DataFrame, facts: DataFrame, level: np.ndarray) -> DataFrame:
+    """The components (node, root) of the verified links of keys of different texts."""
     texts = stored(facts.filter("key is not null").groupBy("key").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.min("doc_id").alias("doc_id")))
-    pairs = candidates(texts.select("key", "bands", "marks"))
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = texts.join(keys, "key", "left_semi").select(F.col("doc_id").alias("__id")).distinct()
-    sets = stored(multisets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")))
+    pairs, together = candidates(texts.select("key", "bands", "marks"))
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        ids = texts.join(keys, "key", "left_semi").select(F.col("doc_id").alias("__id")).distinct()
+        return stored(multisets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")).join(keys, "key", "left_semi"))
+
+    sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
     marks = texts.select("key", "marks")
     alike = F.col("similarity") >= THRESHOLD
     checked = stored(verified(pairs, sets, level))
@@ -358,7 +446,13 @@ def links(docs: DataFrame, facts: DataFrame, level: np.ndarray) -> tuple[DataFra
         if not new.filter(alike).take(1):
             break
         roots = merged(roots, new.filter(alike).select("a", "b"))
-    return checked.filter(alike), roots
+    rows = stored(bucket_classes(together, texts, roots).groupBy("bucket", "salt").applyInArrow(apart, ", ".join(f"{k} {v}" for k, v in MEETING.items())))
+    lacking = stored(rows.select("key").distinct().join(sets, "key", "left_anti"))
+    if lacking.take(1):
+        sets = sets.union(sets_of(lacking))
+    shared = docs.sparkSession.sparkContext.broadcast(level)
+    more = rows.join(sets, "key").groupBy("bucket", "salt").applyInArrow(lambda t: bridges(t, shared.value), "a binary, b binary")
+    return merged(roots, stored(more.distinct()))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -367,7 +461,7 @@ def classes(docs: DataFrame) -> DataFrame:
     n, counts = document_frequencies(docs)
     level = levels(n, counts)
     facts = stored(signatures(docs, level))
-    _, roots = links(docs, facts, level)
+    roots = links(docs, facts, level)
     rows = facts.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     rows = stored(rows)
     groups = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))

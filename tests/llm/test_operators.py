@@ -112,6 +112,38 @@ def test_bucket_levels_keep_a_large_group_together(spark, monkeypatch):
     assert {r.class_id for r in neardup.classes(rows).collect()} == {0}
 
 
+def weighted_classes(rows):
+    """Of (doc_id, text): links of weighted similarity >= 0.8 by brute force (within a thousand of ids), and the class of each doc_id by them."""
+    import numpy as np
+
+    data, offsets = b"".join(t.encode() for _, t in rows), np.cumsum([0, *(len(t.encode()) for _, t in rows)])
+    at, shingle, counts, _ = neardup.shingles(np.frombuffer(data, np.uint8), offsets)
+    total = np.bincount(shingle & np.uint32(neardup.SKETCH - 1), minlength=neardup.SKETCH)
+    level = neardup.levels(len(rows), total)
+    sets = [neardup.weighed(np.repeat(shingle[at == i], counts[at == i]), level) for i in range(len(rows))]
+    least, found = {r[0]: r[0] for r in rows}, []
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][0] // 1000 == rows[j][0] // 1000 and min(sets[i][2], sets[j][2]) >= 0.8 * max(sets[i][2], sets[j][2]) and neardup.jaccard(sets[i], sets[j]) >= 0.8:
+                found.append((rows[i][0], rows[j][0]))
+    for a, b in found:
+        lo, hi = sorted((least[a], least[b]))
+        least = {k: lo if v == hi else v for k, v in least.items()}
+    return found, least
+
+
+def test_family_with_a_shared_passage(spark):
+    # 120 texts share a long passage and are less than 0.8 alike; so do 30 pairs that are linked by a few words more.
+    passage = [f"p{i}" for i in range(160)]
+    rows = [(i, " ".join([*passage, *(f"s{i}x{k}" for k in range(20))])) for i in range(120)]
+    for i in range(120, 180):
+        rows.append((i, " ".join([*passage, *(f"o{i // 2}x{k}" for k in range(8)), *(f"n{i}x{k}" for k in range(16))])))
+    found, want = weighted_classes(rows)
+    assert sorted(found) == [(i + 1, i) for i in range(120, 180, 2)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_language_model(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(ngram, "CHUNK", 100_000)
     monkeypatch.setattr(ngram, "RANGE", 5_000)
