@@ -7,9 +7,7 @@ Texts are multisets of five-word shingles with TF-IDF weights. Steps:
 3. Samples are cut into bands; within a bucket every text is compared by its samples with leaders
    only (greedy leader clustering, buckets over GROUP texts in salted parts, then their leaders).
 4. Each candidate pair is verified by weighted Jaccard similarity of the full shingle multisets.
-5. Components of the verified links are classes. A text whose candidate failed narrowly is compared
-   with the nearest members of that leader's class too, until no class changes.
-6. Then in each bucket every pair of texts that agree
+5. Components of the verified links are classes. Then in each bucket every pair of texts that agree
    and are in different classes is verified too, and the links found join their classes: so a class
    is a component of all links of pairs that share a bucket and agree, whoever led.
 
@@ -28,7 +26,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,11 +41,9 @@ HASHES = BANDS * ROWS
 #: Counters of the sketch; frequencies under FLOOR of the documents count as FLOOR, far over the sketch's noise.
 SKETCH, PART, FLOOR, DAMP, LEVELS = 1 << 22, 1 << 16, 1e-3, 0.15, 16
 #: Standard deviation of the agreeing samples of a pair at the threshold; how many must agree for a pair
-#: to be verified: 2.25 deviations under the threshold, and 1 for two texts that failed against one leader.
+#: to be verified: 2.25 deviations under the threshold.
 SPREAD = (HASHES * THRESHOLD * (1 - THRESHOLD)) ** 0.5
-AGREE, AGREE_FAILED = int(HASHES * THRESHOLD - 2.25 * SPREAD), int(HASHES * THRESHOLD - SPREAD)
-#: Members of a class that a text which failed narrowly against one of them is compared with next.
-NEAREST = 8
+AGREE = int(HASHES * THRESHOLD - 2.25 * SPREAD)
 #: Columns of the rows that are compared across the classes of a bucket.
 MEETING = {"bucket": "long", "salt": "int", "key": "binary", "root": "binary", "outside": "boolean", "home": "int", "bands": "array<bigint>", "marks": "binary"}
 #: Texts of a bucket compared in one task.
@@ -295,54 +290,6 @@ def verified(pairs: DataFrame, sets: DataFrame, level: np.ndarray) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def rescue(table: pa.Table) -> pa.Table:
-    """For one class and part: each text that asks, with the NEAREST members that agree best and with other asking texts."""
-    asking, asked = table.filter(pc.field("asks")).to_pylist(), table.filter(~pc.field("asks")).to_pylist()
-    a, b = [], []
-    if asking and asked:
-        marks = np.frombuffer(b"".join(x["marks"] for x in asked), np.uint8).reshape(-1, HASHES)
-        failed = np.array([x["failed"] for x in asked])
-        roots = np.array([x["root"] for x in asked], object)
-        # Of two asking texts the one with the lesser key names the pair.
-        twin = {x["key"] for x in asking}
-        named = np.array([x["key"] if x["failed"] and x["key"] in twin else b"" for x in asked], object)
-        for x in asking:
-            agree = (marks == np.frombuffer(x["marks"], np.uint8)).sum(axis=1)
-            agree[roots == x["root"]] = 0
-            members = np.flatnonzero(~failed & (agree >= AGREE))
-            members = members[np.argsort(-agree[members], kind="stable")][:NEAREST]
-            others = np.flatnonzero(failed & (agree >= AGREE_FAILED))
-            for j in (*members, *(j for j in others if not named[j] or x["key"] < named[j])):
-                a.append(min(x["key"], asked[j]["key"]))
-                b.append(max(x["key"], asked[j]["key"]))
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-
-def narrow_misses(checked: DataFrame, fresh: DataFrame, roots: DataFrame, marks: DataFrame) -> DataFrame:
-    """Further pairs: texts of the fresh pairs that failed narrowly against a member of a class, with the other members and with each other.
-
-    By the triangle inequality only a similarity over 2 * THRESHOLD - 1 leaves room for a link to a member's partners.
-    """
-    mine = roots.select(F.col("node").alias("key"), F.col("root").alias("mine"))
-
-    def failed_against(pairs: DataFrame) -> DataFrame:
-        met = pairs.filter((F.col("similarity") > 2 * THRESHOLD - 1) & (F.col("similarity") < THRESHOLD))
-        met = met.select(F.col("a").alias("key"), F.col("b").alias("node")).union(met.select(F.col("b").alias("key"), F.col("a").alias("node")))
-        met = met.join(roots, "node").join(mine, "key", "left")
-        return met.select("key", F.col("root").alias("class"), F.coalesce("mine", "key").alias("root")).filter("root <> class").distinct()
-
-    met = failed_against(fresh)
-    parts = roots.join(met.select("class").distinct(), F.col("root") == F.col("class"), "left_semi").groupBy(F.col("root").alias("class")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    salt = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("salt")
-    asks = met.join(parts, "class").join(marks, "key")
-    failed = failed_against(checked).join(parts, "class").join(marks, "key")
-    members = roots.join(parts, F.col("root") == F.col("class")).withColumnRenamed("node", "key").join(marks, "key")
-    columns = ("key", "root", "marks")
-    asked = members.select("class", salt, *columns, F.lit(False).alias("failed"), F.lit(False).alias("asks")).union(failed.select("class", salt, *columns, F.lit(True), F.lit(False)))
-    asking = asks.select("class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), *columns, F.lit(True), F.lit(True))
-    return asked.union(asking).groupBy("class", "salt").applyInArrow(rescue, "a binary, b binary").distinct()
-
-
 def bucket_classes(together: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the buckets that hold texts of more than one class, dealt to parts of GROUP texts.
 
@@ -432,20 +379,7 @@ def links(docs: DataFrame, facts: DataFrame, level: np.ndarray) -> DataFrame:
         return stored(multisets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")).join(keys, "key", "left_semi"))
 
     sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
-    marks = texts.select("key", "marks")
-    alike = F.col("similarity") >= THRESHOLD
-    checked = stored(verified(pairs, sets, level))
-    roots = stored(components(checked.filter(alike).select("a", "b")))
-    new = checked
-    while True:
-        more = stored(narrow_misses(checked, new, roots, marks).join(checked, ["a", "b"], "left_anti"))
-        if not more.take(1):
-            break
-        new = stored(verified(more, sets, level))
-        checked = stored(checked.union(new))
-        if not new.filter(alike).take(1):
-            break
-        roots = merged(roots, new.filter(alike).select("a", "b"))
+    roots = stored(components(verified(pairs, sets, level).filter(F.col("similarity") >= THRESHOLD).select("a", "b")))
     rows = stored(bucket_classes(together, texts, roots).groupBy("bucket", "salt").applyInArrow(apart, ", ".join(f"{k} {v}" for k, v in MEETING.items())))
     lacking = stored(rows.select("key").distinct().join(sets, "key", "left_anti"))
     if lacking.take(1):

@@ -144,6 +144,21 @@ def test_family_with_a_shared_passage(spark):
     assert got == want
 
 
+def test_partner_that_is_not_among_the_nearest(spark):
+    # Each text t is linked with one member of a group of near copies only; the others are narrow misses.
+    rows = []
+    for g in range(12):
+        base, tail = [f"g{g}w{i}" for i in range(200)], [f"g{g}t{k}" for k in range(18)]
+        rows += [(1000 * g + i, " ".join([*base, *(f"g{g}m{i}x{k}" for k in range(10))])) for i in range(100)]
+        rows.append((1000 * g + 500, " ".join([*base, *tail[:4], *(f"g{g}m500x{k}" for k in range(6))])))
+        rows.append((1000 * g + 999, " ".join([*base[21:], *tail])))
+    found, want = weighted_classes(rows)
+    alone = collections.Counter(x for p in found for x in p if x % 1000 == 999)
+    assert len(alone) == 12 and max(alone.values()) == 1
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_language_model(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(ngram, "CHUNK", 100_000)
     monkeypatch.setattr(ngram, "RANGE", 5_000)
