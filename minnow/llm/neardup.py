@@ -41,9 +41,9 @@ HASHES = BANDS * ROWS
 #: Counters of the sketch; frequencies under FLOOR of the documents count as FLOOR, far over the sketch's noise.
 SKETCH, PART, FLOOR, DAMP, LEVELS = 1 << 22, 1 << 16, 1e-3, 0.15, 16
 #: Standard deviation of the agreeing samples of a pair at the threshold; how many must agree for a pair
-#: to be verified: 2.25 deviations under the threshold.
+#: to be verified: 4 deviations under the threshold.
 SPREAD = (HASHES * THRESHOLD * (1 - THRESHOLD)) ** 0.5
-AGREE = int(HASHES * THRESHOLD - 2.25 * SPREAD)
+AGREE = int(HASHES * THRESHOLD - 4 * SPREAD)
 #: Columns of the rows that are compared across the classes of a bucket.
 MEETING = {"bucket": "long", "salt": "int", "key": "binary", "root": "binary", "outside": "boolean", "home": "int", "bands": "array<bigint>", "marks": "binary"}
 #: Texts of a bucket compared in one task.

@@ -159,6 +159,16 @@ def test_partner_that_is_not_among_the_nearest(spark):
     assert got == want
 
 
+def test_pairs_just_over_the_threshold(spark):
+    # 1500 separate pairs of weighted similarity 0.808; at most 0.2 % may be missed.
+    rows = []
+    for i in range(1500):
+        words = [f"w{i}x{k}" for k in range(100)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:88], *(f"v{i}x{k}" for k in range(8))]))]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i] != got[2 * i + 1] for i in range(1500)) <= 3
+
+
 def test_language_model(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(ngram, "CHUNK", 100_000)
     monkeypatch.setattr(ngram, "RANGE", 5_000)
