@@ -12,7 +12,7 @@ limit has a shard of its own; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minnow.llm.cluster import stored
@@ -27,10 +27,26 @@ def bits(hash_column: Column, start: int, n: int) -> Column:
     return F.shiftrightunsigned(F.shiftleft(hash_column, start), 64 - n)
 
 
+def row_hash() -> Column:
+    return F.xxhash64(F.lit(17), "doc_id", F.coalesce(F.col("text"), F.lit("")))
+
+
+def row_bytes() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+
+
+def copies_a_page(n_bytes: str, limit: int) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(n_bytes, F.lit(1)))).cast("long")
+
+
 def shard_documents(docs: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
     """doc_id, shard (the prefix's bits, with .page for overflow), depth, n_bytes of the row, shard_bytes."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    rows = stored(docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", F.coalesce(F.col("text"), F.lit(""))).alias("h"), size.alias("n_bytes")))
+    return assigned(docs, limit, step).drop("h")
+
+
+def assigned(docs: DataFrame, limit: int, step: int) -> DataFrame:
+    """shard_documents() with the hash h of each row."""
+    rows = stored(docs.select("doc_id", row_hash().alias("h"), row_bytes().alias("n_bytes")))
     open_ = rows.select("h", "n_bytes", F.lit("").alias("prefix"))
     done, depth = None, 0
     while depth < 64:
@@ -61,23 +77,39 @@ def place(rows: DataFrame, directory: DataFrame, stuck: DataFrame | None, limit:
     path = F.lpad(F.bin("h"), 64, "0")
     for n in sorted(lengths):
         cells = directory.filter(F.col("len") == n).select("full", "shard", "shard_bytes")
-        parts.append(rows.withColumn("full", F.substring(path, 1, n)).join(cells, "full").select("doc_id", "shard", F.length("shard").cast("long").alias("depth"), "n_bytes", "shard_bytes"))
+        parts.append(rows.withColumn("full", F.substring(path, 1, n)).join(cells, "full").select("doc_id", "h", "shard", F.length("shard").cast("long").alias("depth"), "n_bytes", "shard_bytes"))
     if stuck is not None:
         same = rows.join(stuck.select("h").distinct(), "h").groupBy("h", "doc_id", "n_bytes").agg(F.count("*").alias("n"))
-        page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1)))).cast("long")
-        copies = same.withColumn("per", page).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("page", F.floor(F.col("i") / F.col("per")).cast("long"))
+        copies = same.withColumn("per", copies_a_page("n_bytes", limit)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("page", F.floor(F.col("i") / F.col("per")).cast("long"))
         held = F.least("per", F.col("n") - F.col("page") * F.col("per")) * F.col("n_bytes")
-        parts.append(copies.select("doc_id", F.concat(path, F.lit("."), F.col("page")).alias("shard"), F.lit(64).cast("long").alias("depth"), "n_bytes", held.alias("shard_bytes")))
+        parts.append(copies.select("doc_id", "h", F.concat(path, F.lit("."), F.col("page")).alias("shard"), F.lit(64).cast("long").alias("depth"), "n_bytes", held.alias("shard_bytes")))
     if not parts:
-        return rows.select("doc_id", F.lit("").alias("shard"), F.lit(0).cast("long").alias("depth"), "n_bytes", F.lit(0).cast("long").alias("shard_bytes"))
+        return rows.select("doc_id", "h", F.lit("").alias("shard"), F.lit(0).cast("long").alias("depth"), "n_bytes", F.lit(0).cast("long").alias("shard_bytes"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """Write whole documents under path, one directory a shard; return the directory of shards."""
-    placed = shard_documents(docs, limit).select("doc_id", "shard").dropDuplicates(["doc_id"])
-    docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"]), "left").drop(placed["doc_id"]).repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, step: int = STEP) -> DataFrame:
+    """Write whole documents under path, one directory a shard; return the directory of shards.
+
+    A row's hash gives its shard. Rows in overflow pages are numbered within the stored part of the table
+    they are in, from where the parts before it end, so that no task gets all copies of a row.
+    """
+    placed = stored(assigned(docs, limit, step))
+    paged = F.col("shard").contains(".")
+    keyed = docs.withColumns({"__h": row_hash(), "__n": row_bytes()})
+    whole = keyed.join(placed.filter(~paged).select(F.col("h").alias("__h"), "shard").distinct(), "__h").select(*docs.columns, "shard")
+    over = keyed.join(F.broadcast(placed.filter(paged).select(F.col("h").alias("__h")).distinct()), "__h", "left_semi")
+    over = stored(over.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}))
+    row = ["__h", "doc_id", "__n"]
+    counts = over.groupBy(*row, "__part").agg(F.count("*").alias("__k"))
+    before = Window.partitionBy(*row).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__h", F.col("doc_id").alias("__id"), "__n", "__part", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__start"))
+    over = over.withColumn("__i", F.row_number().over(Window.partitionBy(*row, "__part").orderBy("__row")) - 1)
+    over = over.join(starts, ["__h", "__n", "__part"]).filter(F.col("doc_id").eqNullSafe(F.col("__id")))
+    page = F.floor((F.col("__start") + F.col("__i")) / copies_a_page("__n", limit)).cast("long")
+    over = over.select(*docs.columns, F.concat(F.lpad(F.bin("__h"), 64, "0"), F.lit("."), page).alias("shard"))
+    whole.unionByName(over).repartition("shard").write.partitionBy("shard").parquet(path)
     return placed.groupBy("shard").agg(F.count("*").alias("n"))

@@ -220,6 +220,16 @@ def test_copies_of_one_row_get_pages(spark):
     assert sorted(got.values()) == [5, 10, 10]
 
 
+def test_written_shards_hold_what_was_assigned(spark, tmp_path):
+    rows = [(None, f"{i:04d}" * 25) for i in range(40)] + [(1, "x" * 100)] * 25 + [(None, "y" * 100)] * 15 + [(2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r.shard: r.n for r in sharding.write_shards(docs, str(tmp_path / "out"), 1000, step=4).collect()}
+    files = spark.read.parquet(str(tmp_path / "out")).withColumn("at", F.regexp_extract(F.input_file_name(), "shard=([01.0-9]+)", 1))
+    assert {r["at"]: r["count"] for r in files.groupBy("at").count().collect()} == want and sum(want.values()) == len(rows)
+    assert max(r.b for r in files.groupBy("at").agg(F.sum(F.octet_length("text")).alias("b")).collect()) <= 1000
+    assert by_id((r.doc_id, r.text) for r in files.collect()) == by_id(rows)
+
+
 def test_language_id(spark, docs, empty):
     model = langid.train(docs, queries.fold(4) != 2)
     rows = docs.select("doc_id", "text").union(spark.createDataFrame([(5000, "12 34 !"), (5001, "привет")], "doc_id long, text string"))
