@@ -24,8 +24,8 @@ from minnow.llm.cluster import ship
 #: Least bytes, then least and greatest ratio allowed for texts from that length on.
 BANDS = ((0, 0.0, 3.0), (256, 1.15, 4.0), (1024, 1.3, 5.0), (4096, 1.4, 6.0), (16384, 1.45, 7.0), (65536, 1.5, 8.0))
 CHUNK = 4096
-#: Ratios allowed for full chunks, and the share of chunks outside that rejects a text.
-CHUNK_BAND, CHUNK_SHARE = (1.35, 6.0), 0.5
+#: Ratios allowed for chunks, and the share of chunks outside, under and over together, from which on a text is rejected.
+CHUNK_BAND, CHUNK_SHARE = (1.35, 6.0), 0.25
 LEVEL = 3
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -75,13 +75,14 @@ def band(n_bytes: int) -> tuple[float, float]:
 
 
 def ratios(text: memoryview, z: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """Whole ratio, and shares of full chunks that lie under and over the chunk band."""
+    """Whole ratio, and shares of chunks that lie under and over the chunk band; a rest after full chunks counts as the last CHUNK bytes."""
     n = len(text)
     if not n:
         return 0.0, 0.0, 0.0
     whole = n / len(z.compress(text))
     under = over = full = 0
-    for at in range(0, n - CHUNK + 1, CHUNK):
+    starts = [*range(0, n - CHUNK + 1, CHUNK), *([n - CHUNK] if n > CHUNK and n % CHUNK else [])]
+    for at in starts:
         r = CHUNK / len(z.compress(text[at : at + CHUNK]))
         full += 1
         under += r < CHUNK_BAND[0]
@@ -98,7 +99,7 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = np.array([ratios(raw[off[i] : off[i + 1]], z) for i in range(end - at)]).reshape(-1, 3)
             limits = np.array([band(int(n)) for n in np.diff(off)]).reshape(-1, 2)
             failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
-            inside = (r[:, 0] >= limits[:, 0]) & (r[:, 0] <= limits[:, 1]) & (r[:, 1] <= CHUNK_SHARE) & (r[:, 2] <= CHUNK_SHARE)
+            inside = (r[:, 0] >= limits[:, 0]) & (r[:, 0] <= limits[:, 1]) & (r[:, 1] + r[:, 2] < CHUNK_SHARE)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(at, end - at), *(pa.array(c[k].astype(np.int64)) for k in COUNTS), pa.array(failed), pa.array(inside & ~failed), *(pa.array(r[:, i]) for i in range(3))],
                 ["doc_id", *COUNTS, "base_failed", "kept", "ratio", "chunks_under", "chunks_over"],

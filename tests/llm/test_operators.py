@@ -255,6 +255,20 @@ def test_quality_rules(docs, empty):
     assert not any(r.kept and r.base_failed for r in got) and quality.quality_rules(empty).count() == 0
 
 
+def test_quality_verdict_of_part_noise(spark):
+    import base64
+    import random
+
+    r = random.Random(7)
+    plain = lambda n: (" ".join("".join(r.choices(string.ascii_lowercase[:9], k=r.randint(2, 6))) for _ in range(n)) + " ")[:n].encode()
+    noise = lambda n: base64.b64encode(r.randbytes(n))[:n]
+    chunk = quality.CHUNK
+    texts = [plain(40 * chunk), plain(21 * chunk) + b" " + noise(19 * chunk), plain(chunk) + b" " + noise(chunk - 100), b"".join(noise(chunk) if i % 5 == 0 else (b"ab cd ef " * chunk)[:chunk] if i % 5 == 1 else plain(chunk) for i in range(40))]
+    got = {x.doc_id: x for x in quality.quality_rules(spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got[0].kept and got[0].chunks_under == got[0].chunks_over == 0
+    assert not any(got[i].kept or got[i].base_failed for i in (1, 2)) and got[2].chunks_under >= 0.5 and not got[3].kept
+
+
 def test_bpe(docs, empty):
     ranks = bpe.load_ranks(queries.RANKS)
     plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
