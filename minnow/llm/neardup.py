@@ -4,23 +4,29 @@ Texts are multisets of five-word shingles with TF-IDF weights. Steps:
 
 1. A count sketch of all shingles of all documents (bounded, broadcast) gives document frequencies.
 2. Every text gets HASHES weighted samples; equal texts fall together by a 128-bit key of their words.
-3. Samples are cut into bands; within a bucket every text is compared by its samples with leaders
-   only (greedy leader clustering, buckets over GROUP texts in salted parts, then their leaders).
-4. Each candidate pair is verified by weighted Jaccard similarity of the full shingle multisets.
-5. Components of the verified links are classes. Then in each bucket every pair of texts that agree
-   and are in different classes is verified too, and the links found join their classes: so a class
-   is a component of all links of pairs that share a bucket and agree, whoever led.
+3. Samples are cut into bands. Within a bucket every pair of texts whose samples agree is compared,
+   in the bucket of the first band they share, unless links found before already join the two: pairs
+   are never rows, they arise and go within a task. Exact bounds (the weight of the shingles that no
+   other text of the bucket has) drop most pairs that cannot reach the threshold; the rest is verified
+   by weighted Jaccard similarity of the full multisets. Components of the links are classes.
+4. A bucket over GROUP texts is dealt to parts. Each part is compared within itself, then one text
+   for each class of a part with those of the other parts. What is still in another class than the
+   bucket's main one and can reach the threshold there at all by the exact bound is then compared
+   with every part, so that each pair of different classes has met.
 
 The inverse document frequency is damped to [1, 1 + DAMP]: with an undamped one, the shared text of
 a large group of copies weighs next to nothing and its members would no longer match.
 
 Defined cases: texts without words are in no class but their own row's; a text of fewer than five
-words is one shingle; repeated rows are copies; null doc_ids take part, and a class's id is its
-least non-null doc_id; an empty table gives an empty result; other columns are ignored.
+words is one shingle; a text of any length is taken whole; repeated rows are copies; null doc_ids
+take part, and a class's id is its least non-null doc_id; an empty table gives an empty result; other
+columns are ignored, whatever their names; ties of one class go to the least doc_id, then the least
+text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -44,10 +50,14 @@ SKETCH, PART, FLOOR, DAMP, LEVELS = 1 << 22, 1 << 16, 1e-3, 0.15, 16
 #: to be verified: 4 deviations under the threshold.
 SPREAD = (HASHES * THRESHOLD * (1 - THRESHOLD)) ** 0.5
 AGREE = int(HASHES * THRESHOLD - 4 * SPREAD)
-#: Columns of the rows that are compared across the classes of a bucket.
-MEETING = {"bucket": "long", "salt": "int", "key": "binary", "root": "binary", "outside": "boolean", "home": "int", "bands": "array<bigint>", "marks": "binary"}
-#: Texts of a bucket compared in one task.
-GROUP = 2048
+#: Texts of a part of a bucket and of a lot of parts that one call compares, and shingles of either.
+GROUP, LOT, HELD = 2048, 8192, 4 << 20
+#: Pairs of rows whose samples are compared at once.
+PAIRS = 1 << 18
+#: The band of rows that are compared whatever other bands they share.
+ANY = -1
+#: Columns of rows that meet in a part: whether a row is outside the bucket's main class, and the part where it is at home.
+MEETING = {"lot": "int", "bucket": "long", "band": "int", "salt": "int", "parts": "int", "key": "binary", "root": "binary", "outside": "boolean", "home": "int", "size": "int", "bands": "array<bigint>", "marks": "binary"}
 BLOCK = 1 << 19
 SLOTS = 1 << 14
 
@@ -166,84 +176,33 @@ def samples(rows: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows: i
 
 
 def signatures(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """doc_id, key (16 bytes, null for texts without words), bands (BANDS int64) and marks (a byte a sample) of each row."""
+    """doc_id, hash (of the text), key (16 bytes, null for texts without words), size (shingles), bands (BANDS int64) and marks (a byte a sample) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch in batches:
-            for at, end, data, off in K.blocks(batch.column(1), BLOCK):
+            for at, end, data, off in K.blocks(batch.column(2), BLOCK):
                 n = end - at
                 rows, shingle, counts, keys = shingles(data, off)
                 s = samples(rows, shingle, counts * idf(level[shingle & np.uint32(SKETCH - 1)]), n)
-                has = np.zeros(n, bool)
-                has[rows] = True
+                size = np.bincount(rows, counts, n).astype(np.int32)
                 bands = np.zeros((n, BANDS), K.U64)
                 for j in range(ROWS):
                     bands = K.mix(bands + s[:, j::ROWS])
                 bands = K.mix(bands + np.arange(1, BANDS + 1).astype(K.U64) * K.BASE)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, n), pa.array([k.tobytes() if x else None for k, x in zip(keys, has, strict=True)], pa.binary()),
-                    pa.array([b.tolist() if x else None for b, x in zip(bands.view(np.int64), has, strict=True)], pa.list_(pa.int64())),
+                    *(c.slice(at, n) for c in batch.columns[:2]), pa.array([k.tobytes() if x else None for k, x in zip(keys, size, strict=True)], pa.binary()), pa.array(size),
+                    pa.array([b.tolist() if x else None for b, x in zip(bands.view(np.int64), size, strict=True)], pa.list_(pa.int64())),
                     pa.array([m.tobytes() for m in (s >> K.U64(56)).astype(np.uint8)], pa.binary()),
-                ], ["doc_id", "key", "bands", "marks"])
+                ], ["doc_id", "hash", "key", "size", "bands", "marks"])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    rest = [T.StructField("hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType())]
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *rest]))
 
 
-def cluster(table: pa.Table) -> pa.Table:
-    """Pairs (leader, member) of one bucket or part of it; with more than one part also (leader, null) for the next level.
-
-    Texts come in order of their agreement with the most frequent samples, so that a group's middle leads.
-    """
-    table = table.sort_by("key")
-    n, bucket, parts = table.num_rows, table.column("bucket")[0].as_py(), table.column("parts")[0].as_py()
-    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(n, HASHES)
-    if n > 2:
-        middle = np.array([np.bincount(marks[:, k], minlength=256).argmax() for k in range(HASHES)], np.uint8)
-        order = np.argsort(-(marks == middle).sum(axis=1), kind="stable")
-        table, marks = table.take(pa.array(order)), marks[order]
-    keys, led, a, b = table.column("key").to_pylist(), np.zeros(n, bool), [], []
-    for i in range(n):
-        if led[i]:
-            continue
-        near = i + 1 + np.flatnonzero((marks[i + 1 :] == marks[i]).sum(axis=1) >= AGREE)
-        led[near] = True
-        a += [keys[i]] * len(near)
-        b += [keys[j] for j in near]
-        if parts > 1:
-            a.append(keys[i])
-            b.append(None)
-    return pa.table({"bucket": pa.array([bucket] * len(a), pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-
-def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) of keys of texts (key, bands, marks) that share a bucket and agree with its leaders; bucket and key of all buckets of two texts or more."""
-    marks = texts.select("key", "marks")
-    member = texts.select("key", F.explode("bands").alias("bucket"))
-    found, together, size, schema = [], None, GROUP, "bucket long, a binary, b binary"
-    while True:
-        counted = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = member.join(counted, "bucket")
-        if together is None:
-            rows = together = stored(rows)
-        rows = rows.withColumn("parts", F.ceil(F.col("n") / size).cast("int")).withColumn("salt", F.pmod(F.xxhash64("key", F.lit(size)), F.col("parts")))
-        pairs = stored(rows.join(marks, "key").select("bucket", "key", "marks", "parts", "salt").groupBy("bucket", "salt").applyInArrow(cluster, schema))
-        found.append(pairs.filter("b is not null").select("a", "b"))
-        member = pairs.filter("b is null").select(F.col("a").alias("key"), "bucket")
-        if not member.take(1):
-            break
-        size *= 2
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    ends = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return stored(out.select(ends.alias("p")).select("p.*").distinct()), together.select("bucket", "key")
-
-
-def multisets(docs: DataFrame) -> DataFrame:
-    """key and shingles (sorted uint32 with repeats, as bytes) of each text with words; one row a key."""
+def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key and shingles (sorted uint32 with repeats, as bytes) of the texts wanted (doc_id, hash); one row a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,108 +213,227 @@ def multisets(docs: DataFrame) -> DataFrame:
                 sets = [np.repeat(shingle[at_row[i] : at_row[i + 1]], counts[at_row[i] : at_row[i + 1]]).tobytes() for i in have]
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i].tobytes() for i in have], pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "key binary, shingles binary").dropDuplicates(["key"])
-
-
-def weighed(x: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Distinct shingles of a sorted multiset, their weights and the sum of these."""
-    s, counts = np.unique(x, return_counts=True)
-    weights = counts * idf(level[s & np.uint32(SKETCH - 1)])
-    return s, weights, float(weights.sum())
+    rows = docs.select("doc_id", "text").withColumn("hash", F.xxhash64("text"))
+    on = (rows["hash"] == wanted["hash"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])
+    return rows.join(wanted, on, "left_semi").select("text").mapInArrow(run, "key binary, shingles binary").dropDuplicates(["key"])
 
 
-def jaccard(x: tuple[np.ndarray, np.ndarray, float], y: tuple[np.ndarray, np.ndarray, float]) -> float:
-    """Weighted Jaccard similarity of two weighed multisets."""
-    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    low = float(np.minimum(x[1][i], y[1][j]).sum())
-    return low / (x[2] + y[2] - low)
-
+def in_lots(rows: DataFrame) -> DataFrame:
+    """rows (bucket, salt, size ...) with lot: parts of buckets dealt to lots of some LOT rows or HELD shingles."""
+    n, held = rows.agg(F.count("*"), F.sum("size")).first()
+    lots = max(1, math.ceil(max((n or 0) / LOT, (held or 0) / HELD)))
+    return rows.withColumn("lot", F.pmod(F.xxhash64("bucket", "salt"), F.lit(lots)).cast("int"))
 
-def weighted_jaccard(x: np.ndarray, y: np.ndarray, level: np.ndarray) -> float:
-    """Of two sorted multisets of shingles."""
-    return jaccard(weighed(x, level), weighed(y, level))
 
+def in_parts(member: DataFrame, seed: int) -> DataFrame:
+    """member (bucket, band, key, size) of buckets of two texts or more, with parts and home: how many parts the bucket has and the one of this text."""
+    counted = member.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("held")).filter("n > 1")
+    parts = F.ceil(F.greatest(F.col("n") / GROUP, F.col("held") / HELD)).cast("int")
+    return member.join(counted.select("bucket", parts.alias("parts")), "bucket").withColumn("home", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("parts")).cast("int"))
 
-def verified(pairs: DataFrame, sets: DataFrame, level: np.ndarray) -> DataFrame:
-    """a, b and their similarity."""
-    shared = pairs.sparkSession.sparkContext.broadcast(level)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
-        for batch in batches:
-            sims = [weighted_jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), level) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+def ordered(table: pa.Table) -> pa.Table:
+    """Rows by part of a bucket, those outside the main class first, by key."""
+    return table.sort_by([("bucket", "ascending"), ("salt", "ascending"), ("outside", "descending"), ("key", "ascending")]).combine_chunks()
 
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similarity double")
 
+def bounds_of(table: pa.Table) -> np.ndarray:
+    """Where the parts of buckets begin in an ordered table, and its end."""
+    bucket, salt = table.column("bucket").to_numpy(), table.column("salt").to_numpy()
+    return np.concatenate([[0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])) + 1, [len(bucket)]])
 
-def bucket_classes(together: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold texts of more than one class, dealt to parts of GROUP texts.
 
-    A bucket's main class is the one with most texts in it. Its texts are each in one part (home); the
-    others (outside) are in all parts, so that every pair of different classes meets in exactly one.
-    """
-    mine = together.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    sizes = mine.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("parts"), F.count("*").alias("classes"), F.max(F.struct("n", "root")).getField("root").alias("main")).filter("classes > 1")
-    rows = mine.join(mixed, "bucket").select("bucket", "key", "root", "parts", (F.col("root") != F.col("main")).alias("outside"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("home"))
-    salts = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))
-    return rows.withColumn("salt", F.explode(salts)).join(texts.select("key", "bands", "marks"), "key").select(*MEETING)
+def codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy()
 
 
-def meetings(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Rows of a part in order of key: each outside row, the rows of other classes it is to be compared with here, and how many samples agree.
+def comparisons(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of an ordered table: pairs of rows to be compared here, and how many of their samples agree.
 
-    A pair that shares several buckets is compared in that of the first band; of two outside rows the lesser key's home counts.
+    One of the two is outside the main class, they are in different classes, and this bucket is that of the first band
+    they share; two outside rows, which may meet in several parts, are compared where the first of them is at home.
     """
-    n, bucket, salt = table.num_rows, table.column("bucket")[0].as_py(), table.column("salt")[0].as_py()
+    n = table.num_rows
+    if n < 2:
+        return
     marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(n, HASHES)
     bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(n, BANDS)
-    roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
-    outside, home = table.column("outside").to_numpy(), table.column("home").to_numpy()
-    band = int(np.flatnonzero(bands[0] == bucket)[0])
-    for i in np.flatnonzero(outside):
-        agree = (marks == marks[i]).sum(axis=1)
-        here = (agree >= AGREE) & (roots != roots[i])
-        here &= ~outside | (np.arange(n) > i) & (home[i] == salt)
-        others = np.flatnonzero(here)
-        others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
-        if len(others):
-            yield i, others, agree[others]
-
-
-def apart(table: pa.Table) -> pa.Table:
-    """The rows of one part of a bucket that are to be compared with a row of another class."""
-    table = table.sort_by("key")
-    used = np.zeros(table.num_rows, bool)
-    for i, others, _ in meetings(table):
-        used[i] = used[others] = True
+    root, outside = codes(table.column("root")), table.column("outside").to_numpy(zero_copy_only=False)
+    band, salt, home = (table.column(c).to_numpy() for c in ("band", "salt", "home"))
+    bounds = bounds_of(table)
+    counts = np.where(outside, np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n) - 1, 0)
+    total = np.cumsum(counts)
+    at = 0
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        i = np.repeat(np.arange(at, stop), counts[at:stop])
+        j = i + 1 + K.ranges(counts[at:stop])
+        at = stop
+        agree = (marks[i] == marks[j]).sum(axis=1)
+        here = np.flatnonzero((agree >= AGREE) & (root[i] != root[j]) & (~outside[j] | (home[i] == salt[i])))
+        i, j, agree = i[here], j[here], agree[here]
+        first = ((bands[i] == bands[j]).argmax(axis=1) == band[i]) | (band[i] == ANY)
+        if first.any():
+            yield i[first], j[first], agree[first]
+
+
+def meeting(table: pa.Table) -> pa.Table:
+    """The rows of a lot that are to be compared with another one of it; of buckets of several parts all rows."""
+    table = ordered(table)
+    used = table.column("parts").to_numpy() > 1
+    for i, j, _ in comparisons(table):
+        used[i] = used[j] = True
     return table.filter(pa.array(used))
 
 
-def bridges(table: pa.Table, level: np.ndarray) -> pa.Table:
-    """Links (a, b) of one part of a bucket that join different classes: every pair not yet joined is verified, the likeliest first."""
-    table = table.sort_by("key")
-    keys, sets, known, a, b = table.column("key").to_pylist(), table.column("shingles"), {}, [], []
-    label = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+def weighed_rows(table: pa.Table, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows' multisets: row, shingle and weight of each distinct shingle in order."""
+    sets = table.column("shingles").to_pylist()
+    n = np.array([len(x) // 4 for x in sets], np.int64)
+    flat = np.frombuffer(b"".join(sets), np.uint32)
+    tag = np.repeat(np.arange(len(n)), n).astype(K.U64) << K.U64(32) | flat.astype(K.U64)
+    new = np.flatnonzero(np.concatenate([[True], tag[1:] != tag[:-1]])) if len(tag) else np.zeros(0, np.int64)
+    counts = np.diff(np.concatenate([new, [len(tag)]]))
+    shingle = flat[new]
+    return (tag[new] >> K.U64(32)).astype(np.int64), shingle, counts * idf(level[shingle & np.uint32(SKETCH - 1)])
+
+
+def alone(rows: np.ndarray, shingle: np.ndarray, weight: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each row the weight of its shingles that no other row of its group has."""
+    _, back, n = np.unique(group[rows].astype(K.U64) << K.U64(32) | shingle.astype(K.U64), return_inverse=True, return_counts=True)
+    return np.bincount(rows, weight * (n[back] == 1), len(group))
+
+
+def jaccard(x: tuple[np.ndarray, np.ndarray, float], y: tuple[np.ndarray, np.ndarray, float]) -> float:
+    """Weighted Jaccard similarity of two weighed multisets: distinct shingles, their weights and the sum of these."""
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    low = float(np.minimum(x[1][i], y[1][j]).sum())
+    return low / (x[2] + y[2] - low)
 
-    def of(i: int) -> tuple[np.ndarray, np.ndarray, float]:
-        if i not in known:
-            known[i] = weighed(np.frombuffer(sets[i].as_buffer(), np.uint32), level)
-        return known[i]
 
-    for i, others, agree in meetings(table):
-        for j in others[np.argsort(-agree, kind="stable")]:
-            if label[i] == label[j]:
-                continue
-            x, y = of(int(i)), of(int(j))
-            # The ratio of the totals is an upper bound of the similarity.
-            if min(x[2], y[2]) >= THRESHOLD * max(x[2], y[2]) and jaccard(x, y) >= THRESHOLD:
-                a.append(min(keys[i], keys[j]))
-                b.append(max(keys[i], keys[j]))
-                label[label == label[j]] = label[i]
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+def linked(table: pa.Table, level: np.ndarray) -> pa.Table:
+    """Links (a, b) of keys that join the classes of a lot, the likeliest pairs tried first; of buckets of several parts also
+    (bucket, a, size): for each class of a part the text that agrees best with the class's most frequent samples."""
+    table = ordered(table)
+    rows, shingle, weight = weighed_rows(table, level)
+    first = np.searchsorted(rows, np.arange(table.num_rows + 1))
+    total = np.bincount(rows, weight, table.num_rows)
+    bounds = bounds_of(table)
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    most = total - alone(rows, shingle, weight, group)  # of a row's weight, what can be in common with another row
+    key, keys, root = codes(table.column("key")), table.column("key").to_pylist(), codes(table.column("root"))
+    parent = list(range(int(root.max()) + 1)) if len(root) else []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    class_of = dict(zip(key.tolist(), root.tolist(), strict=True))
+    of = lambda i: (shingle[first[i] : first[i + 1]], weight[first[i] : first[i + 1]], total[i])
+    a, b = [], []
+    for i, j, agree in comparisons(table):
+        low = np.minimum(most[i], most[j])
+        can = low >= THRESHOLD * (total[i] + total[j] - low) * (1 - 1e-9)
+        i, j, agree = i[can], j[can], agree[can]
+        for k in np.argsort(-agree, kind="stable"):
+            x, y = find(class_of[key[i[k]]]), find(class_of[key[j[k]]])
+            if x != y and jaccard(of(i[k]), of(j[k])) >= THRESHOLD:
+                parent[x] = y
+                a.append(keys[i[k]])
+                b.append(keys[j[k]])
+    leads = [r for g in np.flatnonzero(table.column("parts").to_numpy()[bounds[:-1]] > 1) for r in middles(table, range(bounds[g], bounds[g + 1]), [find(class_of[key[r]]) for r in range(bounds[g], bounds[g + 1])])] if len(keys) else []
+    lead = table.take(pa.array(leads, pa.int64())).select(["bucket", "key", "size"])
+    empty = lambda kind, n: pa.nulls(n, kind)
+    return pa.table({
+        "a": pa.chunked_array([pa.array(a, pa.binary()), *lead.column("key").chunks]), "b": pa.chunked_array([pa.array(b, pa.binary()), empty(pa.binary(), len(leads))]),
+        **{c: pa.chunked_array([empty(kind, len(a)), *lead.column(c).chunks]) for c, kind in (("bucket", pa.int64()), ("size", pa.int32()))},
+    })
+
+
+def middles(table: pa.Table, rows: range, classes_: list[int]) -> list[int]:
+    """For each class of these rows the row that agrees best with the most frequent samples."""
+    marks = np.frombuffer(b"".join(table.column("marks").slice(rows.start, len(rows)).to_pylist()), np.uint8).reshape(len(rows), HASHES)
+    label, out = np.array(classes_), []
+    for c in np.unique(label):
+        mine = np.flatnonzero(label == c)
+        usual = np.array([np.bincount(marks[mine, k], minlength=256).argmax() for k in range(HASHES)], np.uint8)
+        out.append(rows.start + int(mine[(marks[mine] == usual).sum(axis=1).argmax()]))
+    return out
+
+
+class Search:
+    """The links of texts (key, doc_id, hash, size, bands, marks): keys of different texts whose similarity reaches the threshold."""
+
+    def __init__(self, docs: DataFrame, texts: DataFrame, level: np.ndarray):
+        self.docs, self.texts, self.level = docs, texts, docs.sparkSession.sparkContext.broadcast(level)
+        self.signs = texts.select("key", "bands", "marks")
+        self.sets: DataFrame | None = None
+
+    def compared(self, rows: DataFrame) -> DataFrame:
+        """Links and, for buckets of several parts, their leads among rows (bucket, band, salt, parts, key, root, outside, home, size)."""
+        shared, schema = self.level, ", ".join(f"{k} {v}" for k, v in MEETING.items())
+        met = stored(in_lots(rows).join(self.signs, "key").select(*MEETING).groupBy("lot").applyInArrow(meeting, schema))
+        lacking = met.select("key").distinct()
+        lacking = stored(lacking.join(self.sets, "key", "left_anti") if self.sets is not None else lacking)
+        if self.sets is None or lacking.take(1):
+            wanted = stored(self.texts.join(lacking, "key", "left_semi").select("doc_id", "hash"))
+            more = stored(multisets(self.docs, wanted))
+            self.sets = self.sets.unionByName(more) if self.sets is not None else more
+        out = in_lots(met.drop("lot")).join(self.sets, "key").groupBy("lot").applyInArrow(lambda t: linked(t, shared.value), "a binary, b binary, bucket long, size int")
+        return stored(out)
+
+    def roots(self) -> DataFrame:
+        """The components (node, root) of all links."""
+        member = self.texts.select("key", "size", F.posexplode("bands").alias("band", "bucket"))
+        everything = stored(in_parts(member, 0))
+        rows, found, before = everything, None, None
+        while True:
+            out = self.compared(rows.withColumns({"salt": F.col("home"), "root": F.col("key"), "outside": F.lit(True)}))
+            links = out.filter("b is not null").select("a", "b")
+            found = links if found is None else found.union(links)
+            leads = out.filter("b is null").select("bucket", F.lit(ANY).alias("band"), F.col("a").alias("key"), "size")
+            n = leads.count()
+            # Where the parts' classes no longer meet, another round over their leads would compare the same texts again.
+            if not n or before is not None and n > before / 2:
+                break
+            before, rows = n, stored(in_parts(leads, n))
+        roots = stored(components(found))
+        large = everything.filter("parts > 1")
+        return merged(roots, self.across(large, roots)) if before is not None else roots
+
+    def across(self, large: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links (a, b) between classes of buckets that have several parts.
+
+        A bucket's main class is the one with most texts in it. Its texts are each in one part (home); the others (outside)
+        go to all parts, so that every pair of different classes meets in exactly one. Texts that share too little with the
+        whole bucket to reach the threshold with any text of it are left out before, by an exact bound.
+        """
+        mine = stored(large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+        sizes = mine.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "root")).getField("root").alias("main")).filter("classes > 1").select("bucket", "main")
+        rows = mine.join(mixed, "bucket").withColumn("outside", F.col("root") != F.col("main"))
+        rows = stored(rows.join(self.hopeless(rows), ["bucket", "key"], "left_anti"))
+        salts = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))
+        out = self.compared(rows.withColumn("salt", F.explode(salts)).drop("main"))
+        return out.filter("b is not null").select("a", "b")
+
+    def hopeless(self, rows: DataFrame) -> DataFrame:
+        """bucket and key of rows of whose weight more than 1 - THRESHOLD lies in shingles that no other text of the bucket has."""
+        shared = self.level
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = pa.Table.from_batches([batch.slice(at, 64)])
+                    row, shingle, weight = weighed_rows(part, shared.value)
+                    whole = np.bincount(row, weight, part.num_rows)
+                    yield pa.RecordBatch.from_arrays([part.column("bucket").combine_chunks().take(pa.array(row)), part.column("key").combine_chunks().take(pa.array(row)), pa.array(shingle.astype(np.int64)), pa.array(weight / whole[row])], ["bucket", "key", "shingle", "share"])
+
+        each = rows.select("bucket", "key").join(self.sets, "key").select("bucket", "key", "shingles").mapInArrow(spread, "bucket long, key binary, shingle long, share double")
+        single = each.groupBy("bucket", "shingle").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("share").alias("share")).filter("n = 1")
+        return single.groupBy("bucket", "key").agg(F.sum("share").alias("share")).filter(F.col("share") > (1 - THRESHOLD) * (1 + 1e-9)).select("bucket", "key")
 
 
 def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
@@ -369,59 +447,35 @@ def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
     return stored(known.union(single))
 
 
-def links(docs: DataFrame, facts: DataFrame, level: np.ndarray) -> DataFrame:
-    """The components (node, root) of the verified links of keys of different texts."""
-    texts = stored(facts.filter("key is not null").groupBy("key").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.min("doc_id").alias("doc_id")))
-    pairs, together = candidates(texts.select("key", "bands", "marks"))
-
-    def sets_of(keys: DataFrame) -> DataFrame:
-        ids = texts.join(keys, "key", "left_semi").select(F.col("doc_id").alias("__id")).distinct()
-        return stored(multisets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")).join(keys, "key", "left_semi"))
-
-    sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
-    roots = stored(components(verified(pairs, sets, level).filter(F.col("similarity") >= THRESHOLD).select("a", "b")))
-    rows = stored(bucket_classes(together, texts, roots).groupBy("bucket", "salt").applyInArrow(apart, ", ".join(f"{k} {v}" for k, v in MEETING.items())))
-    lacking = stored(rows.select("key").distinct().join(sets, "key", "left_anti"))
-    if lacking.take(1):
-        sets = sets.union(sets_of(lacking))
-    shared = docs.sparkSession.sparkContext.broadcast(level)
-    more = rows.join(sets, "key").groupBy("bucket", "salt").applyInArrow(lambda t: bridges(t, shared.value), "a binary, b binary")
-    return merged(roots, stored(more.distinct()))
-
-
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, key, root, class_id (least doc_id), class_size (rows) of each row; key and root are null for texts without words."""
+    """doc_id, hash (of the text), key, root, class_id (least doc_id), class_size (rows) of each row; key and root are null for texts without words."""
     ship(docs.sparkSession)
     n, counts = document_frequencies(docs)
     level = levels(n, counts)
     facts = stored(signatures(docs, level))
-    roots = links(docs, facts, level)
-    rows = facts.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    at = F.min(F.struct("doc_id", "hash")).alias("at")
+    texts = facts.filter("key is not null").groupBy("key").agg(at, *(F.first(c).alias(c) for c in ("size", "bands", "marks")))
+    roots = Search(docs, stored(texts.select("key", "at.*", "size", "bands", "marks")), level).roots()
+    rows = facts.select("doc_id", "hash", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "hash", "key", F.coalesce("root", "key").alias("root"))
     rows = stored(rows)
     groups = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(groups, "root", "left").select("doc_id", "key", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    return rows.join(groups, "root", "left").select("doc_id", "hash", "key", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs with one row of each class, that of the least doc_id; texts without words all stay."""
-    found = classes(docs).filter("key is not null")
-    best = found.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).isin("").alias("none"), F.col("doc_id"), F.col("key"))).alias("best")).select("best.doc_id", "best.key")
-    best = best.withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__best")
-    keyed = with_key(docs)
-    kept = keyed.filter("__key is not null").join(best, (F.col("__key") == F.col("__best")) & F.col("doc_id").eqNullSafe(F.col("__id"))).dropDuplicates(["__key", "doc_id"])
-    return kept.select(*docs.columns).union(keyed.filter("__key is null").select(*docs.columns))
-
-
-def with_key(docs: DataFrame) -> DataFrame:
-    """docs and __key, the key of each text's words."""
-    at = docs.columns.index("text")
+    """The rows of docs with one row of each class, that of the least doc_id; texts without words all stay.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys: list[bytes | None] = []
-            for _, _, data, off in K.blocks(batch.column(at)):
-                h, _, _, bounds = K.words(data, off, K.word_table())
-                keys += [k.tobytes() if n else None for k, n in zip(word_keys(h, bounds), np.diff(bounds), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "__key"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())]))
+    Rows are known by doc_id and the hash of their text, so only the list of those that go is joined to docs (Spark
+    broadcasts it while the stored list is small, else docs is shuffled once). Of rows equal in both, one stays.
+    """
+    found = stored(classes(docs).filter("key is not null").groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n")))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best")).select("root", F.col("best.doc_id").alias("best_id"), F.col("best.hash").alias("best_hash"))
+    judged = found.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("hash") == F.col("best_hash")))
+    listed = stored(judged.filter("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "stays"))
+    on = (F.xxhash64(docs["text"]) == listed["__hash"]) & docs["doc_id"].eqNullSafe(listed["__id"])
+    kept = docs.join(listed, on, "left_anti")
+    repeats = listed.filter("stays")
+    if not repeats.take(1):
+        return kept
+    again = docs.join(repeats, on, "left_semi").groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash")).agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return kept.unionByName(again.select("__row.*"))

@@ -105,27 +105,44 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.classes(empty).count() == 0
 
 
-def test_bucket_levels_keep_a_large_group_together(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "GROUP", 8)
+def family():
+    """120 texts that share a long passage and are less than 0.8 alike; so do 30 pairs that are linked by a few words more."""
+    passage = [f"p{i}" for i in range(160)]
+    rows = [(i, " ".join([*passage, *(f"s{i}x{k}" for k in range(20))])) for i in range(120)]
+    for i in range(120, 180):
+        rows.append((i, " ".join([*passage, *(f"o{i // 2}x{k}" for k in range(8)), *(f"n{i}x{k}" for k in range(16))])))
+    return rows
+
+
+@pytest.mark.parametrize("group", [8, 64, 2048])
+def test_buckets_of_many_parts(spark, monkeypatch, group):
+    monkeypatch.setattr(neardup, "GROUP", group)
     base = [f"w{i}" for i in range(200)]
-    rows = spark.createDataFrame([(i, " ".join(base[:100] + [f"n{i}"] + base[100:])) for i in range(60)], "doc_id long, text string")
-    assert {r.class_id for r in neardup.classes(rows).collect()} == {0}
+    near = [(1000 + i, " ".join(base[:100] + [f"n{i}"] + base[100:])) for i in range(60)]
+    # Linked with one text of the group only.
+    near.append((1060, " ".join(base[:100] + ["n7"] + base[100:] + [f"e{k}" for k in range(25)])))
+    rows = family() + near
+    found, want = weighted_classes(rows)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and (1060, 1007) in found
 
 
 def weighted_classes(rows):
     """Of (doc_id, text): links of weighted similarity >= 0.8 by brute force (within a thousand of ids), and the class of each doc_id by them."""
     import numpy as np
 
-    data, offsets = b"".join(t.encode() for _, t in rows), np.cumsum([0, *(len(t.encode()) for _, t in rows)])
-    at, shingle, counts, _ = neardup.shingles(np.frombuffer(data, np.uint8), offsets)
-    total = np.bincount(shingle & np.uint32(neardup.SKETCH - 1), minlength=neardup.SKETCH)
-    level = neardup.levels(len(rows), total)
-    sets = [neardup.weighed(np.repeat(shingle[at == i], counts[at == i]), level) for i in range(len(rows))]
+    sets = [collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) for w in (words(t) for _, t in rows)]
+    df = collections.Counter(x for s in sets for x in s)
+    step = {x: round((neardup.LEVELS - 1) * math.log(min(max(n / len(rows), neardup.FLOOR), 1)) / math.log(neardup.FLOOR)) for x, n in df.items()}
+    sets = [{x: n * float(neardup.idf(np.array(step[x]))) for x, n in s.items()} for s in sets]
+    total = [sum(s.values()) for s in sets]
     least, found = {r[0]: r[0] for r in rows}, []
     for i in range(len(rows)):
         for j in range(i):
-            if rows[i][0] // 1000 == rows[j][0] // 1000 and min(sets[i][2], sets[j][2]) >= 0.8 * max(sets[i][2], sets[j][2]) and neardup.jaccard(sets[i], sets[j]) >= 0.8:
-                found.append((rows[i][0], rows[j][0]))
+            if rows[i][0] // 1000 == rows[j][0] // 1000 and min(total[i], total[j]) >= 0.8 * max(total[i], total[j]):
+                low = sum(min(w, sets[j][x]) for x, w in sets[i].items() if x in sets[j])
+                if low >= 0.8 * (total[i] + total[j] - low):
+                    found.append((rows[i][0], rows[j][0]))
     for a, b in found:
         lo, hi = sorted((least[a], least[b]))
         least = {k: lo if v == hi else v for k, v in least.items()}
@@ -133,11 +150,7 @@ def weighted_classes(rows):
 
 
 def test_family_with_a_shared_passage(spark):
-    # 120 texts share a long passage and are less than 0.8 alike; so do 30 pairs that are linked by a few words more.
-    passage = [f"p{i}" for i in range(160)]
-    rows = [(i, " ".join([*passage, *(f"s{i}x{k}" for k in range(20))])) for i in range(120)]
-    for i in range(120, 180):
-        rows.append((i, " ".join([*passage, *(f"o{i // 2}x{k}" for k in range(8)), *(f"n{i}x{k}" for k in range(16))])))
+    rows = family()
     found, want = weighted_classes(rows)
     assert sorted(found) == [(i + 1, i) for i in range(120, 180, 2)]
     got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
