@@ -1,28 +1,33 @@
 """Benchmark decontamination with DataFrame functions only (operator 1).
 
-Benchmark texts become a set of normalised 8-word windows. Training texts are split into words,
-every window's hash is looked up in the broadcast set, and the windows that hit are verified by a
-join on their words. Document text never leaves its row: only hits are exploded. A benchmark with
-more windows than MOST_LITERALS skips the set and joins all windows instead.
+Benchmark texts become a set of normalised 8-word windows. The hashes of the set go to every task as
+one bitmap of bounded size; training texts are split into words, and the hash of every window is looked
+up in it as the rows are scanned. Only windows that hit leave their row, with their words, and are
+verified by a join with the set itself. The plan is the same for a benchmark of any size: a larger one
+gets a larger bitmap, and beyond MOST_BITS only more windows that the join throws away.
 
 Defined cases: null or wordless texts have no windows; an item of fewer than 8 words is one window;
 null item_ids are left out; repeated item rows count once; repeated document rows each get a result;
-an empty benchmark gives no hits; an empty table gives an empty result; other columns are ignored.
+a text of any length is scanned whole; an empty benchmark gives no hits; an empty table gives an empty
+result; other columns are ignored, and kept by decontaminate(), whatever their names.
 """
 
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minnow.llm.cluster import stored
+
 #: Words of a window.
 SIZE = 8
-#: Windows that the in-memory set may hold (8 bytes each in every task); beyond it the windows are joined.
-MOST_LITERALS = 100_000
-#: Windows whose texts may be broadcast (some 100 bytes each); beyond it Spark shuffles the hits.
-MOST_BROADCAST = 200_000
+#: Bits of the bitmap for each window of the benchmark, and in all (32 MB).
+BITS_EACH, MOST_BITS = 32, 1 << 28
+#: How far a window's hash is shifted for each of the bits that stand for it.
+SHIFTS = (0, 18, 36)
 # The characters of words, lower case and either case, and separators.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -57,29 +62,42 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return grams.groupBy("__m", "__gram", "__g").agg(F.collect_set("__item").alias("__items"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each row of docs: doc_id, __row (hash of id and text), n_words, __hits (pos, m by position), __items (sorted)."""
-    grams = benchmark_windows(benchmark).cache()
-    sizes = sorted(r[0] for r in grams.select("__m").distinct().collect())
-    n_grams = grams.count()
-    literal = ",".join(f"{r[0]}L" for r in grams.select("__g").collect() if r[0] != -(1 << 63)) if 0 < n_grams <= MOST_LITERALS else ""
+def bitmap(grams: DataFrame, n_bits: int) -> DataFrame:
+    """One row: array<bigint> of n_bits bits, those of the hashes of grams set."""
+    places = F.explode(F.array(*(F.shiftrightunsigned("__g", k).bitwiseAND(F.lit(n_bits - 1)) for k in SHIFTS)))
+    marked = grams.select(places.alias("p")).groupBy(F.shiftrightunsigned("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("w"))
+    every = grams.sparkSession.range(n_bits >> 6).withColumnRenamed("id", "i").join(marked, "i", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("w", F.lit(0).cast("long")).alias("w")))), lambda x: x["w"]).alias("bits"))
+
+
+def in_bitmap(bits: Column, hash_: Column, n_bits: int) -> Column:
+    """Whether all bits of a hash are set."""
+    places = [F.shiftrightunsigned(hash_, k).bitwiseAND(F.lit(n_bits - 1)) for k in SHIFTS]
+    return reduce(lambda a, b: a & b, [F.getbit(F.get(bits, F.shiftrightunsigned(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in places])
+
+
+def scan(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row (doc_id, __row, n_words) for each row of docs, and of those with hits (doc_id, __row, __hits, __items).
+
+    __row is a hash of id and text, __hits the (pos, m) of verified windows by position, __items the sorted ids of their items.
+    """
+    grams = stored(benchmark_windows(benchmark))
+    sizes = sorted(r[0] for r in grams.select("__m").distinct().collect())  # at most SIZE
+    n_bits = min(MOST_BITS, 1 << max(6, (BITS_EACH * grams.count() - 1).bit_length()))
+    # The hashes of all windows of each size, one size after the other, behind a null that stands for the row itself.
+    counts = [f"greatest(__n - {m - 1}, 0)" for m in sizes]
+    before = ["1" + "".join(f" + {c}" for c in counts[:j]) for j in range(len(sizes) + 1)]
+    hashes = F.expr(f"concat(array(cast(null as bigint)), {', '.join(f'transform({positions("__n", m)}, i -> {hash_at(m)})' for m in sizes)})" if sizes else "array(cast(null as bigint))")
     base = hashed(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), "text"), "doc_id", "__row")
-    found = []
-    for m in sizes:
-        at = f"filter({positions('__n', m)}, i -> {hash_at(m)} in ({literal}))" if literal else positions("__n", m)
-        found.append(f"transform({at}, i -> struct(i as pos, {m} as m, array_join(slice(__w, i + 1, {m}), ' ') as gram))")
-    marker = "array(struct(-1 as pos, 0 as m, cast(null as string) as gram))"
-    rows = base.select("doc_id", "__row", "__n", F.expr(f"explode(concat({', '.join([marker, *found])}))").alias("x")).select("doc_id", "__row", "__n", "x.*")
-    lookup = grams.select(F.col("__gram").alias("gram"), F.col("__m").alias("m"), "__items")
-    rows = rows.join(F.broadcast(lookup) if n_grams <= MOST_BROADCAST else lookup, ["gram", "m"], "left").filter("pos < 0 or __items is not null")
-    grouped = rows.groupBy("doc_id", "__row").agg(
-        F.first("__n").alias("__n"),
-        F.sum(F.when(F.col("pos") < 0, 1).otherwise(0)).alias("__copies"),
-        F.array_sort(F.collect_set(F.when(F.col("pos") >= 0, F.struct("pos", "m")))).alias("__hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("__items")))).alias("__items"),
-    )
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-    return grouped.select("doc_id", "__row", F.col("__n").cast("long").alias("n_words"), "__hits", "__items", each.alias("__copy")).drop("__copy")
+    rows = base.select("doc_id", "__row", "__n", "__w", F.posexplode_outer(hashes).alias("__k", "__g"))
+    if sizes:
+        rows = rows.filter(F.col("__g").isNull() | in_bitmap(bitmap(grams, n_bits).scalar(), F.col("__g"), n_bits))
+    which = lambda values: F.expr("CASE WHEN __k = 0 THEN 0 " + " ".join(f"WHEN __k < {before[j + 1]} THEN {values[j]}" for j in range(len(sizes))) + " END")
+    rows = rows.select("doc_id", "__row", "__n", "__w", which(sizes).alias("m"), which([f"__k - ({x})" for x in before]).alias("pos"))
+    found = stored(rows.select("doc_id", "__row", F.col("__n").cast("long").alias("n_words"), "m", "pos", F.when(F.col("m") > 0, F.array_join(F.slice("__w", F.col("pos") + 1, F.col("m")), " ")).alias("__gram")))
+    verified = found.filter("m > 0").join(grams.select("__gram", F.col("__m").alias("m"), "__items"), ["__gram", "m"])
+    hits = verified.groupBy("doc_id", "__row").agg(F.array_sort(F.collect_set(F.struct("pos", "m"))).alias("__hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("__items")))).alias("__items"))
+    return found.filter("m = 0").select("doc_id", "__row", "n_words"), stored(hits)
 
 
 def covered(hits: Column) -> Column:
@@ -93,9 +111,13 @@ def covered(hits: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row."""
-    f = find(docs, benchmark)
-    n = F.size("__items").cast("long")
-    return f.select("doc_id", "n_words", covered(F.col("__hits")).alias("n_hit"), n.alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"))
+    rows, hits = scan(docs, benchmark)
+    hits = hits.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__of"), "__hits", "__items")
+    f = rows.join(hits, rows["doc_id"].eqNullSafe(hits["__id"]) & (rows["__row"] == hits["__of"]), "left")
+    n = F.coalesce(F.size("__items"), F.lit(0)).cast("long")
+    n = F.greatest(n, F.lit(0).cast("long"))  # the size of null may be -1
+    items = F.coalesce(F.array_join("__items", ","), F.lit(""))
+    return f.select("doc_id", "n_words", F.coalesce(covered(F.col("__hits")), F.lit(0).cast("long")).alias("n_hit"), n.alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (n >= least_items).alias("contaminated"))
 
 
 def without_spans(text: Column, hits: Column) -> Column:
@@ -117,16 +139,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
 
     With remove="documents", a document goes if it holds windows of least_items items. n_chars, where docs has it, follows the text.
     """
-    facts = find(docs, benchmark).filter(F.size("__hits") > 0).select(F.col("doc_id").alias("__id"), "__row", "__hits", (F.size("__items") >= least_items).alias("__drop")).dropDuplicates(["__id", "__row"])
+    facts = stored(scan(docs, benchmark)[1].select(F.col("doc_id").alias("__id"), "__row", "__hits", (F.size("__items") >= least_items).alias("__drop")))
     key = F.xxhash64(docs["doc_id"], docs["text"])
-    joined = docs.join(facts, (key == facts["__row"]) & docs["doc_id"].eqNullSafe(facts["__id"]), "left").filter(~F.coalesce(F.col("__drop"), F.lit(False)))
+    # The facts are few and stored, so that Spark knows their size and broadcasts them; texts are shuffled only where they are many.
+    joined = docs.join(facts, (key == facts["__row"]) & docs["doc_id"].eqNullSafe(facts["__id"]), "left").filter(~F.coalesce(facts["__drop"], F.lit(False)))
     out = []
-    cut = F.when(F.col("__hits").isNotNull(), without_spans(docs["text"], F.col("__hits"))).otherwise(docs["text"])
+    cut = F.when(facts["__hits"].isNotNull(), without_spans(docs["text"], facts["__hits"])).otherwise(docs["text"])
     for c in docs.columns:
         if remove == "spans" and c == "text":
             out.append(cut.alias("text"))
         elif remove == "spans" and c == "n_chars":
-            out.append(F.when(F.col("__hits").isNotNull(), F.char_length(cut)).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            out.append(F.when(facts["__hits"].isNotNull(), F.char_length(cut)).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
             out.append(docs[c])
     return joined.select(*out)
