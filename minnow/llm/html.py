@@ -1,18 +1,27 @@
 """HTML to text by layout (operator 4): a tree with implied tags, visibility rules, block rendering.
 
 All visible text is emitted: paragraphs and headings stand between blank lines, other blocks on
-lines of their own, list items behind their marker, table rows with cells padded to columns.
+lines of their own, list items behind their marker, table rows with cells padded to columns. Hidden
+are elements without a rendering, with the attribute hidden, with display:none, and with
+visibility:hidden where no element inside is visible again; declarations are taken from style
+attributes and from style elements with plain selectors (tag, .class, #id, tag.class, tag#id).
+
+A column of a table is padded to its widest cell, but to no more than twice the mean width and
+WIDE characters, and a table whose padding would outweigh its text by far is not padded: output
+stays in proportion to the page.
 
 Defined cases: a null or empty page renders as the empty text; unclosed tags, comments and quotes
-end with the page; unknown tags are inline; repeated rows each get a result; an empty table gives
-an empty result; other columns are ignored. Nesting of any depth is handled without recursion.
+end with the page; unknown tags are inline; a page of any length and nesting of any depth is handled
+whole, without recursion and in linear time; repeated rows each get a result; null page_ids are kept;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,7 +50,9 @@ SCOPES = frozenset("table td th caption button object template html".split())
 
 TAG = re.compile(r"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+RULE = re.compile(r"([^{}@;]+)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -60,22 +71,57 @@ class Node:
         return None
 
 
-def build(page: str) -> Node:
-    """The tree of a page; end tags that the page leaves out are implied."""
-    root = Node("#root", "")
+#: Widths that a column may have beyond twice the mean; characters of padding that one of text may cost.
+WIDE, MOST_PADDING = 24, 8
+
+
+class Rules:
+    """What a page's style elements say of display and visibility, by plain selector; later rules win."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[str, str, str], dict[str, str]] = {}
+
+    def add(self, sheet: str) -> None:
+        for selectors, body in RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
+            if says := {k.lower(): v.lower() for k, v in DECLARATION.findall(body)}:
+                for x in selectors.split(","):
+                    if (m := SELECTOR.match(x.strip())) and m[0]:
+                        self.known.setdefault(((m[1] or "").lower(), m[2] or "", m[3] or ""), {}).update(says)
+
+    def of(self, node: Node) -> dict[str, str]:
+        """Declarations for an element: by tag, class and id, then its own style."""
+        says: dict[str, str] = {}
+        if self.known:
+            for kind, names in (("", [""]), (".", (node.get("class") or "").split()), ("#", [node.get("id") or ""])):
+                for name in names:
+                    for tag in ("", node.tag):
+                        if tag or kind:
+                            says |= self.known.get((tag, kind, name), {})
+        if node.attrs and (style := node.get("style")):
+            says |= {k.lower(): v.lower() for k, v in DECLARATION.findall(style)}
+        return says
+
+
+def build(page: str) -> tuple[Node, Rules]:
+    """The tree of a page and the rules of its style elements; end tags that the page leaves out are implied."""
+    root, rules = Node("#root", ""), Rules()
     stack = [root]
-    opened: Counter[str] = Counter()
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each tag
     at, n = 0, len(page)
 
     def cut(k: int) -> None:
         """Close the open elements from the k-th on."""
         for x in stack[k:]:
-            opened[x.tag] -= 1
+            places[x.tag].pop()
         del stack[k:]
 
     def push(x: Node) -> None:
+        places[x.tag].append(len(stack))
         stack.append(x)
-        opened[x.tag] += 1
+
+    def last(names: frozenset[str] | set[str]) -> int:
+        """Place of the innermost open element of names, 0 without one."""
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
 
     def text(s: str) -> None:
         if s:
@@ -83,16 +129,10 @@ def build(page: str) -> Node:
 
     def close(names: frozenset[str] | set[str], until: frozenset[str] | set[str]) -> None:
         """Close the outermost open element of names that stands within the innermost one of until."""
-        if not any(opened[x] for x in names):
-            return
-        k = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                k = i
-            elif stack[i].tag in until:
-                break
-        if k is not None:
-            cut(k)
+        scope = last(until - names)
+        inside = [p[i] for x in names if (p := places.get(x)) and (i := bisect_right(p, scope)) < len(p)]
+        if inside:
+            cut(min(inside))
 
     while at < n:
         m = TAG.search(page, at)
@@ -105,19 +145,15 @@ def build(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            if name == "p" and not opened["p"]:
+            if name == "p" and not places["p"]:
                 stack[-1].children.append(Node("p", ""))
             elif name == "br":
                 stack[-1].children.append(Node("br", ""))
             else:
                 names = HEADINGS if name in HEADINGS else {name}
                 scope = {"table"} if name in IMPLIED_END else SCOPES - names
-                for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in names) else ():
-                    if stack[i].tag in names:
-                        cut(i)
-                        break
-                    if stack[i].tag in scope:
-                        break
+                if (k := last(names)) > last(scope):
+                    cut(k)
             continue
         if name in IMPLIED_END:
             close(*IMPLIED_END[name])
@@ -140,20 +176,18 @@ def build(page: str) -> Node:
             at = end.end() if end else n
             if name == "textarea":
                 node.children.append(html.unescape(inside))
+            elif name == "style":
+                rules.add(inside)
             continue
         push(node)
-    return root
+    return root, rules
 
 
-def visible(node: Node) -> bool:
-    if node.tag in UNSEEN:
+def shown(node: Node, says: dict[str, str]) -> bool:
+    """Whether an element has a rendering at all."""
+    if node.tag in UNSEEN or says.get("display") == "none":
         return False
-    if not node.attrs or node.attrs == "/":
-        return True
-    if node.get("hidden") is not None or node.tag == "input":
-        return False
-    style = node.get("style")
-    return not (style and HIDDEN_STYLE.search(style))
+    return not node.attrs or node.attrs == "/" or node.get("hidden") is None and node.tag != "input"
 
 
 class Frame:
@@ -206,17 +240,54 @@ class Frame:
         return self.lines
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of a table: the cells of a column start at one place."""
-    width: list[int] = []
-    for row in rows:
-        for j, cell in enumerate(row):
-            width += [0] * (j + 1 - len(width))
-            width[j] = max(width[j], *map(len, cell), 0) if cell else width[j]
+@dataclass(slots=True)
+class Cell:
+    lines: list[str]
+    columns: int = 1
+    rows: int = 1
+
+
+def placed(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
+    """The cells of each row with their first column; cells that reach down from rows above keep their columns."""
+    out, taken = [], {}  # type: list[list[tuple[int, Cell]]], dict[int, tuple[int, int]]
+    for r, row in enumerate(rows):
+        taken = {c: (end, width) for c, (end, width) in taken.items() if end > r}
+        line, at = [], 0
+        for cell in row:
+            while at in taken:
+                at += taken[at][1]
+            line.append((at, cell))
+            if cell.rows > 1:
+                taken[at] = (r + cell.rows, cell.columns)
+            at += cell.columns
+        out.append(line)
+    return out
+
+
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table: the cells of a column start at one place, unless one before them is far too wide."""
+    grid = placed(rows)
+    widths: defaultdict[int, list[int]] = defaultdict(list)
+    for row in grid:
+        for at, cell in row:
+            if cell.lines:
+                widths[at].append(max(map(len, cell.lines)) if cell.columns == 1 else 0)
+    start, left = {}, 0
+    for at in sorted(widths):
+        start[at] = left
+        left += min(max(widths[at]), 2 * sum(widths[at]) // len(widths[at]) + WIDE) + 2
+    cells = [(start[at], x) for row in grid for at, cell in row for x in cell.lines]
+    padded = sum(max((start[at] for at, cell in row if i < len(cell.lines)), default=0) for row in grid for i in range(max((len(c.lines) for _, c in row), default=0)))
+    if padded > MOST_PADDING * sum(len(x) + 2 for _, x in cells) + 1000:
+        start = dict.fromkeys(start, 0)
     out = []
-    for row in rows:
-        for i in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[i] if i < len(cell) else "").ljust(width[j]) for j, cell in enumerate(row)).rstrip())
+    for row in grid:
+        for i in range(max((len(c.lines) for _, c in row), default=0)):
+            line = ""
+            for at, cell in row:
+                if i < len(cell.lines) and cell.lines[i]:
+                    line = line.ljust(start[at] if len(line) + 2 <= start[at] or not line else len(line) + 2) + cell.lines[i]
+            out.append(line.rstrip())
     return out
 
 
@@ -229,23 +300,29 @@ def number(node: Node, name: str, default: int) -> int:
 
 def render(page: str | None) -> str:
     """The visible text of a page."""
-    frames, tables = [Frame()], []  # type: list[Frame], list[list[list[list[str]]]]
+    root, rules = build(page or "")
+    frames, tables = [Frame()], []  # type: list[Frame], list[list[list[Cell]]]
     counters: list[int | None] = []
     pre = 0
-    work: list[tuple[bool, Node | str]] = [(True, build(page or ""))]
+    work: list[tuple[bool, Node | str, bool]] = [(True, root, True)]
     while work:
-        opening, x = work.pop()
+        opening, x, seen = work.pop()
         f = frames[-1]
         if isinstance(x, str):
-            f.add(x, pre > 0)
+            if seen:
+                f.add(x, pre > 0)
             continue
         tag = x.tag
         if opening:
             if tag == "br":
-                f.flush(True)
+                if seen:
+                    f.flush(True)
                 continue
-            if not visible(x):
+            says = rules.of(x)
+            if not shown(x, says):
                 continue
+            if "visibility" in says and says["visibility"] != "inherit":
+                seen = says["visibility"] not in ("hidden", "collapse")
             if tag in SPACED and not (tag in ("ul", "ol") and counters):
                 f.space()
             elif tag in BLOCK and tag not in ("td", "th"):
@@ -274,16 +351,16 @@ def render(page: str | None) -> str:
                 if not tables[-1]:
                     tables[-1].append([])
                 frames.append(Frame())
-            work.append((False, x))
+            work.append((False, x, seen))
             if tag == "details" and x.get("open") is None:
                 kids = [k for k in x.children if isinstance(k, Node) and k.tag == "summary"]
             else:
                 kids = x.children
-            work.extend((True, k) for k in reversed(kids))
+            work.extend((True, k, seen) for k in reversed(kids))
             continue
         if tag in ("td", "th") and tables:
-            cell = frames.pop().done()
-            tables[-1][-1] += [cell, *[[]] * (min(max(number(x, "colspan", 1), 1), 1000) - 1)]
+            span = lambda name, most: min(max(number(x, name, 1), 1), most)  # noqa: E731, B023
+            tables[-1][-1].append(Cell(frames.pop().done(), span("colspan", 1000), span("rowspan", 65534)))
             continue
         if tag == "table":
             f.space()
