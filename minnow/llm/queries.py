@@ -95,4 +95,22 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN n_hit USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL}
+OP5_SQL = """
+WITH r AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+    lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 16) AS UBIGINT)), 64, '0') AS path
+  FROM documents
+), l AS (SELECT CAST(range AS INTEGER) AS depth FROM range(0, 65)),
+t AS (SELECT depth, substr(path, 1, depth) AS shard, sum(n_bytes) AS b FROM r, l GROUP BY 1, 2),
+p AS (SELECT path, min(t.depth) AS depth FROM (SELECT DISTINCT path FROM r) q, t WHERE t.shard = substr(path, 1, t.depth) AND b <= {limit} GROUP BY 1),
+c AS (
+  SELECT doc_id, path, n_bytes, greatest(1, {limit} // greatest(n_bytes, 1)) AS per, count(*) OVER (PARTITION BY path, doc_id, n_bytes) AS n,
+    (row_number() OVER (PARTITION BY path, doc_id, n_bytes) - 1) // greatest(1, {limit} // greatest(n_bytes, 1)) AS page
+  FROM r WHERE path NOT IN (SELECT path FROM p)
+)
+SELECT doc_id, t.shard, CAST(p.depth AS BIGINT) AS depth, n_bytes, CAST(b AS BIGINT) AS shard_bytes FROM r JOIN p USING (path) JOIN t ON t.depth = p.depth AND t.shard = substr(path, 1, p.depth)
+UNION ALL
+SELECT doc_id, path || '.' || page, 64, n_bytes, CAST(least(per, n - page * per) * n_bytes AS BIGINT) FROM c
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL, "op5_sharding": OP5_SQL.format(limit=sharding.LIMIT)}
