@@ -6,8 +6,10 @@ time in numpy.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; training skips rows
 whose text or language is null; without any training row every prediction is `und`; ties go to the
-language that sorts first; repeated rows each count and each get a result; an empty table gives an
-empty result; other columns are ignored.
+language that sorts first; where there are more than MOST_LANGUAGES languages, those with most training
+rows are learned (ties: the first by name), since the matrix is broadcast; a text of any length is read
+whole; repeated rows each count and each get a result; an empty table gives an empty result; other
+columns are ignored, and kept by recognised(), whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from minnow.llm.cluster import ship
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
 SMOOTHING = 0.5
-#: More languages than this would not be a label set; the matrix is broadcast.
+#: Languages of the matrix, which is broadcast (262 kB each).
 MOST_LANGUAGES = 512
 UNKNOWN = "und"
 
@@ -73,6 +75,9 @@ def train(docs: DataFrame, where: Column | None = None) -> LanguageModel:
     ship(docs.sparkSession)
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = rows if where is None else rows.filter(where)
+    usual = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    langs = sorted(r["lang"] for r in usual)
+    rows = rows.filter(F.col("lang").isin(langs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -93,10 +98,7 @@ def train(docs: DataFrame, where: Column | None = None) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
 
     counted = rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counted.limit(MOST_LANGUAGES * (BUCKETS + 2) + 1).toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    got = counted.toArrow()  # at most MOST_LANGUAGES * (BUCKETS + 1) rows
     sums = np.zeros((len(langs), BUCKETS + 2))
     index = {x: i for i, x in enumerate(langs)}
     sums[[index[x] for x in got.column("lang").to_pylist()], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
@@ -138,3 +140,19 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(run, schema)
+
+
+def recognised(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The rows of docs whose text has a predicted language with at least this score."""
+    spark = ship(docs.sparkSession)
+    shared, text = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for at, end, data, off in K.blocks(batch.column(text)):
+                langs, score = score_block(model, data, off)
+                stays = np.array([x != UNKNOWN for x in langs], bool) & (score >= least)
+                yield batch.slice(at, end - at).filter(pa.array(stays))
+
+    return docs.mapInArrow(run, docs.schema)
