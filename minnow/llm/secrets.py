@@ -1,13 +1,16 @@
 """Secret scans with DataFrame functions only (operator 9).
 
 Three fixed patterns give the base spans. Candidate strings then get a sliding-window Shannon
-entropy: the sum of c * log2(c) over the window's character counts is updated from the counts of
-the character that leaves and the one that enters, and the greatest window entropy is compared with
-the limit of the candidate's character class. Allow-listed candidates are suppressed.
+entropy: the window's character counts are kept, one goes up for the character that enters and one
+down for the character that leaves, and the sum of c * log2(c) follows these two counts. The greatest
+window entropy is compared with the limit of the candidate's character class. Allow-listed candidates
+are suppressed.
 
 Defined cases: null counts as the empty text (no spans); a span covers the whole match; entropy
-spans that overlap a base span are left out; repeated rows each get a result; an empty table gives
-an empty result; other columns are ignored. Everything happens within the row.
+spans that overlap a base span are left out; of spans of one start the kinds follow in the order of
+KINDS; a text of any length is scanned whole; repeated rows each get a result; an empty table gives
+an empty result; other columns are ignored, and kept by redact(), whatever their names. Everything
+happens within the row.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ ALLOW = (
     "(?i)example|placeholder|x{6}|0{8}|1234567890",
 )
 MASK = "[SECRET]"
+#: Code of the character that stands for a count of 0.
+ZERO = 48
 
 
 def sums(lengths: Column) -> Column:
@@ -55,13 +60,13 @@ def sums(lengths: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, match, part>> of leftmost non-overlapping matches, in code points."""
+    """array<struct<start, end, match, part>> of leftmost non-overlapping matches, in code points; part is the group's share of a match."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
     ends = sums(F.transform(F.arrays_zip(gaps.alias("g"), whole.alias("m")), lambda z: (F.char_length(z["g"]) + F.char_length(z["m"])).cast("long")))
-    rows = F.arrays_zip(ends.alias("end"), whole.alias("match"), part.alias("part"))
-    return F.transform(rows, lambda r: F.struct((r["end"] - F.char_length(r["match"])).alias("start"), r["end"].alias("end"), r["match"].alias("match"), r["part"].alias("part")))
+    rows = F.arrays_zip(ends.alias("end"), whole.alias("match"))
+    part = lambda m: F.regexp_extract(m, pattern, group) if group else m
+    return F.transform(rows, lambda r: F.struct((r["end"] - F.char_length(r["match"])).alias("start"), r["end"].alias("end"), r["match"].alias("match"), part(r["match"]).alias("part")))
 
 
 NO_MATCHES = "array<struct<start:bigint,end:bigint,match:string,part:string>>"
@@ -77,27 +82,50 @@ def weight(c: Column) -> Column:
 
 
 def window_entropy(text: Column, size: int = WINDOW) -> Column:
-    """The greatest Shannon entropy of any window of size characters (of the whole where it is shorter)."""
+    """The greatest Shannon entropy of any window of size characters of an ASCII text (of the whole where it is shorter).
+
+    The counts are a string with one place for each character, whose code there is ZERO and the count.
+    """
+    event = lambda code, up, full: F.struct(code.alias("code"), F.lit(up).alias("up"), full.alias("full"))
 
     def of(chars: Column) -> Column:
-        first = F.slice(chars, 1, size)
-        n = F.size(first)
-        total = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda s, x: s + weight(F.size(F.filter(first, lambda y: y == x))))
-        steps = F.when(F.size(chars) > size, F.sequence(F.lit(size), F.size(chars) - 1)).otherwise(F.array().cast("array<int>"))
+        n = F.least(F.size(chars), F.lit(size))
+        fill = F.transform(F.slice(chars, 1, size), lambda x, i: event(F.ascii(x), 1, i == n - 1))
+        later = F.when(F.size(chars) > size, F.sequence(F.lit(size), F.size(chars) - 1)).otherwise(F.array().cast("array<int>"))
+        moves = F.flatten(F.transform(later, lambda i: F.array(event(F.ascii(F.get(chars, i - size)), -1, F.lit(False)), event(F.ascii(F.get(chars, i)), 1, F.lit(True)))))
 
-        def slide(s: Column, i: Column) -> Column:
-            window, out, new = F.slice(chars, i - size + 1, F.lit(size)), F.get(chars, i - size), F.get(chars, i)
-            had = F.size(F.filter(window, lambda y: y == out))
-            has = F.size(F.filter(window, lambda y: y == new)) - F.when(out == new, 1).otherwise(0)
-            now = s["sum"] + weight(had - 1) - weight(had) + weight(has + 1) - weight(has)
-            return F.struct(now.alias("sum"), F.least(s["best"], now).alias("best"))
+        def step(s: Column, e: Column) -> Column:
+            c = F.ascii(F.substring(s["counts"], e["code"] + 1, F.lit(1))) - ZERO
+            now = s["sum"] + weight(c + e["up"]) - weight(c)
+            counts = F.overlay(s["counts"], F.char(c + e["up"] + ZERO), e["code"] + 1, F.lit(1))
+            return F.struct(counts.alias("counts"), now.alias("sum"), F.when(e["full"], F.least(s["best"], now)).otherwise(s["best"]).alias("best"))
 
-        best = F.aggregate(steps, F.struct(total.alias("sum"), total.alias("best")), slide, lambda s: s["best"])
-        return F.log2(n.cast("double")) - best / n
+        start = F.struct(F.lit(chr(ZERO) * 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("best"))
+        return F.aggregate(F.concat(fill, moves), start, step, lambda s: F.log2(n.cast("double")) - s["best"] / n)
 
     return F.get(F.transform(F.array(F.split(text, "")), of), F.lit(0))
 
 
+def outside(base: Column, candidates: Column) -> Column:
+    """The candidates that overlap no base span, in one walk over both in order."""
+    kind = "struct<start:bigint,kind:int,end:bigint,text:string>"
+    none = F.lit(None).cast(kind)
+    held = lambda s: F.when(s["held"].isNotNull(), F.concat(s["out"], F.array(s["held"]))).otherwise(s["out"])
+
+    def step(s: Column, x: Column) -> Column:
+        candidate = x["kind"] == len(KINDS) - 1
+        hit = s["held"].isNotNull() & (x["start"] < s["held"]["end"])
+        return F.struct(
+            F.when(candidate, s["reach"]).otherwise(F.greatest(s["reach"], x["end"])).alias("reach"),
+            F.when(candidate, F.when(x["start"] >= s["reach"], x).otherwise(none)).otherwise(F.when(hit, none).otherwise(s["held"])).alias("held"),
+            F.when(candidate, held(s)).otherwise(s["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("reach"), none.alias("held"), F.array().cast(f"array<{kind}>").alias("out"))
+    bare = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), F.lit(None).cast("string").alias("text")))
+    return F.when(F.size(candidates) > 0, F.aggregate(F.array_sort(F.concat(bare, candidates)), start, step, held)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 def scan(docs: DataFrame, *keep: str, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """The columns of keep and __base, __all: arrays of struct<start, kind (index), end> by start, then kind."""
     df = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__t"))
@@ -114,14 +142,15 @@ def scan(docs: DataFrame, *keep: str, allow: tuple[str, ...] = ALLOW) -> DataFra
     span = lambda k: lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"))
     df = df.withColumn("__base", F.array_sort(F.concat(*(F.transform(f"__{kind}", span(k)) for k, kind in enumerate(KINDS[:3])))))
 
+    def likely(m: Column) -> Column:
+        return reduce(lambda a, b: a & b, [m["match"].rlike(x) for x in NEEDS] + [~m["match"].rlike(x) for x in allow])
+
     def secret(m: Column) -> Column:
-        text = m["match"]
-        likely = reduce(lambda a, b: a & b, [text.rlike(x) for x in NEEDS] + [~text.rlike(x) for x in allow])
-        least = reduce(lambda rest, c: F.when(text.rlike(c[0]), F.lit(c[1])).otherwise(rest), CLASSES[::-1], F.lit(99.0))
-        free = ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return F.when(likely & free, window_entropy(text) >= least).otherwise(F.lit(False))
+        least = reduce(lambda rest, c: F.when(m["text"].rlike(c[0]), F.lit(c[1])).otherwise(rest), CLASSES[::-1], F.lit(99.0))
+        return window_entropy(m["text"]) >= least
 
-    more = F.transform(F.filter("__candidates", secret), span(3))
+    asked = F.transform(F.filter("__candidates", likely), lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end"), m["match"].alias("text")))
+    more = F.transform(F.filter(outside(F.col("__base"), asked), secret), span(3))
     return df.withColumn("__all", F.array_sort(F.concat("__base", more))).select(*keep, "__base", "__all")
 
 
@@ -142,14 +171,18 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The rows of docs with every span of their text replaced by mask; n_chars, where docs has it, follows the text."""
     df = scan(docs, *docs.columns)
     text = F.col("text")
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("cuts"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(-1).cast("long").alias("a"), zero.alias("end"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("cuts"))
+
+    def closed(s: Column) -> Column:
+        return F.when(s["a"] >= 0, F.concat(s["cuts"], F.array(F.struct(s["a"].alias("a"), s["end"].alias("b"))))).otherwise(s["cuts"])
 
     def merge(s: Column, x: Column) -> Column:
-        cut = F.when(x["start"] >= s["end"], F.array(F.struct(x["start"].alias("a"), x["end"].alias("b"))))
-        joined_on = F.transform(s["cuts"], lambda c: F.struct(c["a"].alias("a"), F.when(c["b"] == s["end"], F.greatest(c["b"], x["end"])).otherwise(c["b"]).alias("b")))
-        return F.struct(F.greatest(s["end"], x["end"]).alias("end"), F.when(cut.isNotNull(), F.concat(s["cuts"], cut)).otherwise(joined_on).alias("cuts"))
+        """The last cut grows, or goes to the others when a span begins behind it."""
+        new = x["start"] >= s["end"]
+        return F.struct(F.when(new, x["start"]).otherwise(s["a"]).alias("a"), F.greatest(s["end"], x["end"]).alias("end"), F.when(new, closed(s)).otherwise(s["cuts"]).alias("cuts"))
 
-    cuts = F.aggregate("__all", start, merge, lambda s: s["cuts"])
+    cuts = F.aggregate("__all", start, merge, closed)
     df = df.withColumn("__cuts", cuts)
     kept = F.transform("__cuts", lambda c, i: F.concat(F.substring(text, F.when(i > 0, F.get("__cuts", i - 1)["b"]).otherwise(0).cast("int") + 1, (c["a"] - F.when(i > 0, F.get("__cuts", i - 1)["b"]).otherwise(0)).cast("int")), F.lit(mask)))
     tail = F.substring(text, F.element_at("__cuts", -1)["b"].cast("int") + 1, F.char_length(text))
