@@ -11,11 +11,13 @@ is one entry of each chunk, so no key is hot, and all that moves is compressed.
 
 Defined cases: a null text is the end token alone; repeated rows count and score each; null doc_ids
 count like the empty id; with no training text only the uniform share is left; an empty table gives
-an empty result; other columns are ignored. A worker holds one text at a time at least.
+an empty result; other columns are ignored; a text of any length is scored whole, and a worker holds
+at least one at a time. Scores depend on counts alone, so ties cannot arise.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +35,8 @@ from minnow.llm.cluster import ship, stored
 END, START = K.mix(np.array([1, 2], np.uint64))
 #: Bytes of text in a chunk, and n-grams that one range adds up.
 CHUNK, RANGE = 8 << 20, 2_000_000
+#: Chunks that one task scores.
+TASK = 16
 #: Roles of texts: counted and used to learn the weights against, held out for the weights, only scored.
 COUNTED, WEIGHTS, SCORED = 0, 1, 2
 BUCKETS = 32
@@ -250,13 +254,15 @@ def interpolated_scores(docs: DataFrame, fold: int = 10, held: int = 0, weights:
     ])
     chunks = stored(chunk_rows(docs, fold, held, weights))
     # A token takes some 2 bytes of codes; the number only sets how finely the hashes are cut.
-    size = chunks.agg(F.sum(F.octet_length("codes") + F.octet_length("vocab") / 4)).first()[0] or 0
+    size, n = chunks.agg(F.sum(F.octet_length("codes") + F.octet_length("vocab") / 4), F.count("*")).first()
+    size, tasks = size or 0, max(math.ceil(n / TASK), min(n, 4 * docs.sparkSession.sparkContext.defaultParallelism), 1)
     bits = max(0, int(np.ceil(np.log2(max(size / 2, 1) / RANGE))))
-    answers = stored(requests(chunks, bits).groupBy("grams", "part").applyInArrow(answer, "chunk long, grams int, part long, train binary, counted binary"))
+    answers = stored(requests(chunks, bits).repartition(max(tasks, 2 << bits), "grams", "part").groupBy("grams", "part").applyInArrow(answer, "chunk long, grams int, part long, train binary, counted binary"))
     sums = [unpack(r["train"], np.uint64).astype(np.int64) for r in answers.filter("chunk = -1 and grams = 1").select("train").toLocalIterator()]
     totals = Totals(*map(int, np.sum(sums, axis=0) if sums else np.zeros(4)))
     replies = answers.filter("chunk >= 0")
+    dealt = chunks.repartition(tasks, "chunk")  # a task's share does not grow with the input
     counted = chunks.filter(F.col("role") == WEIGHTS).groupBy("chunk").cogroup(replies.filter("counted is not null").groupBy("chunk")).applyInArrow(cells(totals), "cell long, n long")
     cell = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     learned = learn_weights(cell.column("cell").to_numpy(), cell.column("n").to_numpy(), totals)
-    return chunks.groupBy("chunk").cogroup(replies.select("chunk", "grams", "part", "train").groupBy("chunk")).applyInArrow(scores(totals, learned, schema.names), schema)
+    return dealt.groupBy("chunk").cogroup(replies.select("chunk", "grams", "part", "train").repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(scores(totals, learned, schema.names), schema)
