@@ -5,25 +5,29 @@ character, every vocabulary entry a piece whose score is its negative rank, norm
 identity. Texts are split by the pre-token pattern; each distinct pre-token is encoded once and
 kept in a bounded memo. Decoding maps ids back to their bytes.
 
-Defined cases: null counts as the empty text (no ids); repeated rows each get a result; other
-columns are ignored; an empty table gives an empty result. Special-token strings are plain text.
+Defined cases: null counts as the empty text (no ids); a text of any length is encoded whole; repeated
+rows each get a result; null doc_ids are kept; other columns are ignored; an empty table gives an empty
+result; of equal ranks the merge further left goes first. Special-token strings are plain text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import struct
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from minnow.llm import kernel as K
 from minnow.llm.cluster import ship
 
 #: First of the 256 characters that stand for bytes.
@@ -67,7 +71,8 @@ def model_proto(ranks: dict[bytes, int]) -> bytes:
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
+    """Ranks from a file, or from the file of public_tokenizers of that name."""
+    with open(path if os.path.exists(path) else public_tokenizers.path(path), "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
@@ -79,7 +84,13 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         self.of_piece = np.array([r for _, r in sorted(ranks.items(), key=lambda x: x[1])] + [-1], np.int64)
-        self.bytes_of = {r: t for t, r in ranks.items()}
+        # All tokens' bytes in a row, and where those of each id begin and how many they are.
+        by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+        for t, r in ranks.items():
+            by_id[r] = t
+        self.table = np.frombuffer(b"".join(by_id), np.uint8)
+        self.lengths = np.array([len(t) for t in by_id], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.chars = {i: chr(FIRST + i) for i in range(256)}
         self.memo: dict[str, bytes] = {}
 
@@ -106,7 +117,10 @@ class Codec:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of packed ids, gathered from the table of all tokens."""
+        at = np.frombuffer(ids, "<u4")
+        n = self.lengths[at]
+        return self.table[np.repeat(self.starts[at], n) + K.ranges(n)].tobytes()
 
 
 @cache
