@@ -91,6 +91,25 @@ def test_a_large_benchmark(spark):
     assert len(got) == 300 and all((r.n_hit, r.n_items) == ((20, 2) if i % 2 else (10, 1)) for i, r in got.items())
 
 
+@pytest.mark.parametrize("held", [7, 1 << 20])
+def test_components(spark, monkeypatch, held):
+    import random
+
+    from minnow.llm import graph
+
+    monkeypatch.setattr(graph, "HELD", held)
+    r = random.Random(5)
+    links = [(a, a + 1) for a in range(40)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(35)] + [(3, 3), (None, 4), (5, None), (201, 200), (201, 200)]
+    root = {x: x for a, b in links if a is not None and b is not None and a != b for x in (a, b)}
+    for _ in root:
+        for a, b in links:
+            if a in root and b in root and a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(links, "a long, b long")
+    assert {x.node: x.root for x in graph.components(frame).collect()} == root
+    assert graph.components(frame.limit(0)).count() == 0
+
+
 def family():
     """120 texts that share a long passage and are less than 0.8 alike; so do 30 pairs that are linked by a few words more."""
     passage = [f"p{i}" for i in range(160)]
@@ -186,6 +205,41 @@ def test_language_model(spark, docs, empty, monkeypatch):
     assert ngram.interpolated_scores(empty).count() == 0
 
 
+def test_interpolated_score_against_a_plain_version(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram, "CHUNK", 100_000)
+    monkeypatch.setattr(ngram, "RANGE", 5_000)
+    texts = [(r.doc_id, crc(r.doc_id) % 10, [x.translate(LOWER) for x in tokens(r.text)] + [None]) for r in docs.collect()]
+
+    def counted(which):
+        one, two = collections.Counter(), collections.Counter()
+        for _, role, t in texts:
+            if which(role):
+                one.update(t)
+                two.update(zip(["<s>", *t], t, strict=False))
+        return one, two
+
+    def parts(one, two, t):
+        n, starts = sum(one.values()), one[None]
+        for v, w in zip(["<s>", *t], t, strict=False):
+            context = starts if v == "<s>" else one[v]
+            yield min(int(math.log2(context + 1)), ngram.BUCKETS - 1), two[v, w] / context if context else 0, one[w] / n, 1 / (len(one) + 1)
+
+    step = lambda p, most: math.exp(-min(round(-4 * math.log(p)), most) / 4) if p else 0
+    one, two = counted(lambda r: r not in (0, 9))
+    seen = [(b, step(x, ngram.F2_LEVELS - 2), step(y, ngram.F1_LEVELS - 2), z) for _, r, t in texts if r == 9 for b, x, y, z in parts(one, two, t)]
+    weights = [[1 / 3] * 3 for _ in range(ngram.BUCKETS)]
+    for _ in range(ngram.ROUNDS):
+        sums = [[1 / 3] * 3 for _ in range(ngram.BUCKETS)]
+        for b, *p in seen:
+            share = [w * x for w, x in zip(weights[b], p, strict=True)]
+            for k in range(3):
+                sums[b][k] += share[k] / sum(share)
+        weights = [[x / sum(s) for x in s] for s in sums]
+    one, two = counted(lambda r: r != 0)
+    want = [(i, round(sum(math.log10(sum(w * x for w, x in zip(weights[b], p, strict=True))) for b, *p in parts(one, two, t)), 3)) for i, _, t in texts]
+    assert by_id((r.doc_id, round(r.score, 3)) for r in ngram.interpolated_scores(docs).collect()) == by_id(want)
+
+
 def test_html():
     page = "<head><title>t</title></head><ul><li>a<li>b<ol start=3><li>x<p>y<li>z</ol><li>c</ul><p>q<p hidden>no<div style='display: none'>no</div>end<table><tr><td>a<td>bbb<tr><td>cccc<td>d</table>tail &amp; x<!-- c"
     text = html.render(page)
@@ -195,13 +249,80 @@ def test_html():
     assert html.render("<div>" * 100_000 + "x") == "x" and html.render('<a "' * 500) == ""
 
 
+def test_html_spans_and_visibility():
+    table = html.render("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>")
+    assert table == "A  B\n   C\nD  E"
+    assert html.render("<table><tr><td colspan=2>wide heading<td>x<tr><td>a<td>b<td>y</table>") == "wide heading  x\na  b  y"
+    assert html.render("a<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><br></div>z") == "a\nyes\nz"
+    page = "<style>/* p{display:none} */ .h, p.q{color:red;display:none} #z{visibility:hidden}</style><p class='x h'>n</p><p class=q>n</p><div class=q>y</div><i id=z>n</i><p style='display:block' class=h>shown"
+    assert html.render(page) == "y\n\nshown"
+
+
+def test_html_stays_in_proportion():
+    import time
+
+    wide = "<table>" + "<tr><td>a<td>b" * 1000 + "<tr><td>" + "x" * 24_000 + "<td>b</table>"
+    assert len(html.render(wide)) < 4 * len(wide)
+    assert len(html.render("<table>" + "<tr><td>a" + "<td>b" * 100 + "<td>" + "c<br>" * 10_000 + "</table>")) < 100_000
+    assert len(html.render("<table>" + "<tr><td colspan=1000>a<td>b" * 500 + "</table>")) < 10_000
+    for part in ("<div>", "<div><p>x", "<li><b>", "<b></i>"):
+        spent = []
+        for n in (10_000, 80_000):
+            began = time.process_time()
+            html.render("<p><button>" + part * n)
+            spent.append(time.process_time() - began)
+        assert spent[1] < 24 * spent[0] + 1, part  # eight times as much for eight times the size, with room for noise
+
+
+def plain_tree(page):
+    """Text chunks of a page without implied tags, by the standard library's parser: words in order, hidden ones left out."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.hidden, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag not in html.VOID and (self.hidden or tag in html.UNSEEN or "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", "")):
+                self.hidden.append(tag)
+
+        def handle_endtag(self, tag):
+            if self.hidden and tag in self.hidden:
+                while self.hidden.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.words += data.split()
+
+    r = Reader()
+    r.feed(page)
+    return r.words
+
+
+def test_html_words_against_a_plain_reader(spark):
+    got = {r.page_id: r.text for r in queries.op4(spark, SMALL).collect()}
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    squeezed = lambda x: re.sub(r"\s+|^- |(?<=\s)- |\d+\. ", "", x)
+    same = sum(squeezed(" ".join(plain_tree(p.html or ""))) == squeezed(got[p.page_id]) for p in pages)
+    assert same >= 0.95 * len(pages), (same, len(pages))
+
+
+def test_html_odd_rows(spark):
+    rows = spark.createDataFrame([(1, None, "u"), (1, None, "u"), (None, "<p>a", None), (2, "", "u")], "page_id long, html string, text string")
+    assert by_id((r.page_id, r.text, r.n_chars, r.n_lines) for r in html.extract_text(rows).collect()) == by_id([(1, "", 0, 0), (1, "", 0, 0), (None, "a", 1, 1), (2, "", 0, 0)])
+    assert html.extract_text(rows.limit(0)).count() == 0
+
+
 def test_html_query(spark):
     assert queries.op4(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/pages.parquet").count()
 
 
 def test_sharding(docs, empty):
     for limit in (20_000, 200_000):
-        got = sharding.shard_documents(docs, limit, step=4).collect()
+        got = sharding.shard_documents(docs, limit).collect()
         assert len(got) == docs.count()
         total, n = collections.Counter(), collections.Counter()
         for r in got:
@@ -213,6 +334,39 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [2_000, 30_000, 1 << 40])
+def test_sharding_against_a_plain_directory(spark, docs, limit, monkeypatch):
+    monkeypatch.setattr(sharding, "SPARE", 6)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(7, "copy " * 100)] * 30 + [(8, "x" * 5000)] * 2
+    hashed = [(format(int.from_bytes(hashlib.md5(f"{'' if i is None else i}:{t or ''}".encode()).digest()[:8], "big"), "064b"), i, len((t or "").encode())) for i, t in rows]
+    want, open_ = [], {"": hashed}
+    while open_:
+        prefix, held = open_.popitem()
+        total = sum(n for _, _, n in held)
+        if total <= limit:
+            want += [(i, prefix, len(prefix), n, total) for _, i, n in held]
+        elif len(prefix) == 64:
+            size = held[0][2]
+            per = max(1, limit // max(size, 1))
+            want += [(i, f"{prefix}.{k // per}", 64, n, min(per, len(held) - k // per * per) * size) for k, (_, i, n) in enumerate(held)]
+        else:
+            for bit in "01":
+                if part := [x for x in held if x[0][len(prefix)] == bit]:
+                    open_[prefix + bit] = part
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), limit).collect()
+    assert by_id(got) == by_id(want)
+
+
+def test_sharding_sql(spark):
+    import duckdb
+
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    duckdb.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    for limit in (50_000, sharding.LIMIT):
+        want = duckdb.sql(queries.OP5_SQL.format(limit=limit)).fetchall()
+        assert by_id(sharding.shard_documents(documents, limit).select("doc_id", "shard", "depth", "n_bytes", "shard_bytes").collect()) == by_id(want)
+
+
 def test_copies_of_one_row_get_pages(spark):
     rows = spark.createDataFrame([(1, "x" * 100)] * 25, "doc_id long, text string")
     got = collections.Counter(r.shard for r in sharding.shard_documents(rows, 1000).collect())
@@ -222,7 +376,7 @@ def test_copies_of_one_row_get_pages(spark):
 def test_written_shards_hold_what_was_assigned(spark, tmp_path):
     rows = [(None, f"{i:04d}" * 25) for i in range(40)] + [(1, "x" * 100)] * 25 + [(None, "y" * 100)] * 15 + [(2, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    want = {r.shard: r.n for r in sharding.write_shards(docs, str(tmp_path / "out"), 1000, step=4).collect()}
+    want = {r.shard: r.n for r in sharding.write_shards(docs, str(tmp_path / "out"), 1000).collect()}
     files = spark.read.parquet(str(tmp_path / "out")).withColumn("at", F.regexp_extract(F.input_file_name(), "shard=([01.0-9]+)", 1))
     assert {r["at"]: r["count"] for r in files.groupBy("at").count().collect()} == want and sum(want.values()) == len(rows)
     assert max(r.b for r in files.groupBy("at").agg(F.sum(F.octet_length("text")).alias("b")).collect()) <= 1000
@@ -239,6 +393,35 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(docs, langid.train(empty)).collect()} == {"und"} and langid.predict(empty, model).count() == 0
 
 
+def test_language_scores_against_plain_counts(spark):
+    import numpy as np
+
+    rows = [(1, "ab abc äb", "x"), (2, "bca cab", "y"), (3, "abc", "x"), (4, None, "y"), (5, "abcab", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    n = {x: np.full(langid.BUCKETS, langid.SMOOTHING) for x in "xy"}
+
+    def buckets(text):
+        got, bounds = langid.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        return [int(b) for column in got for b in column if b < langid.BUCKETS]
+
+    assert len(buckets("abcd")) == 3 + 2 and buckets("AB1c") == buckets("ab c")
+    for _, text, lang in rows[:3]:
+        for b in buckets(text):
+            n[lang][b] += 1
+    asked = "abc caä"
+    total = {x: math.log(p) + sum(math.log(n[x][b] / n[x].sum()) for b in buckets(asked)) for x, p in (("x", 2 / 3), ("y", 1 / 3))}
+    got = langid.predict(spark.createDataFrame([(9, asked)], "doc_id long, text string"), model).first()
+    best = max(total, key=total.get)
+    assert got.lang_pred == best and abs(got.score - 1 / sum(math.exp(v - total[best]) for v in total.values())) < 1e-4
+
+
+def test_more_languages_than_the_matrix_holds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 4)
+    rows = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.expr("concat('l', if(id < 20, id % 4, id))").alias("lang"))
+    model = langid.train(rows)
+    assert model.languages == ["l0", "l1", "l2", "l3"] and {r.lang_pred for r in langid.predict(rows, model).collect()} == {"l0"}
+
+
 def test_quality_rules(docs, empty):
     want = []
     for r in docs.collect():
@@ -254,6 +437,27 @@ def test_quality_rules(docs, empty):
     assert not any(r.kept and r.base_failed for r in got) and quality.quality_rules(empty).count() == 0
 
 
+def test_quality_verdict_against_plain_ratios(docs):
+    import zstandard
+
+    def ratio(x):
+        return len(x) / len(zstandard.ZstdCompressor(level=quality.LEVEL).compress(x))
+
+    texts, low, high = collections.defaultdict(list), *quality.CHUNK_BAND
+    for r in docs.collect():
+        texts[r.doc_id].append((r.text or "").encode())
+    for r in quality.quality_rules(docs).collect():
+        wants = []
+        for x in texts[r.doc_id]:
+            n = len(x)
+            least, most = next((a, z) for size, a, z in reversed(quality.BANDS) if n >= size)
+            parts = [x[at : at + quality.CHUNK] for at in range(0, n - quality.CHUNK + 1, quality.CHUNK)]
+            parts += [x[-quality.CHUNK :]] if n > quality.CHUNK and n % quality.CHUNK else []
+            off = sum(not low <= ratio(p) <= high for p in parts)
+            wants.append(bool(n) and least <= ratio(x) <= most and not (parts and off / len(parts) >= quality.CHUNK_SHARE) and not r.base_failed)
+        assert r.kept in wants
+
+
 def test_quality_verdict_of_part_noise(spark):
     import base64
     import random
@@ -299,10 +503,57 @@ def test_secrets(spark, docs, empty):
     odd = spark.createDataFrame([(1, "k 9f8Gh2Kq7Lz1Xw5Vb3NmAAA 550e8400-e29b-41d4-a716-446655440000 antidisestablishmentarian")], "doc_id long, text string")
     assert secrets.secret_spans(odd).first().spans == "entropy:2:25"
     assert secrets.redact(odd).first().text == "k [SECRET] 550e8400-e29b-41d4-a716-446655440000 antidisestablishmentarian"
-    s = "abcabcabcabcabcabcabcdefghijklmnopqrstuv0123456789"
-    e = spark.range(1).select(secrets.window_entropy(F.lit(s)).alias("e")).first().e
-    assert abs(e - max(entropy(s[i : i + secrets.WINDOW]) for i in range(len(s) - secrets.WINDOW + 1))) < 1e-9
+    for s in ("abcabcabcabcabcabcabcdefghijklmnopqrstuv0123456789", "aab", "a", "a" * 50 + "b" * 50, "0Az_+/=-9" * 9):
+        window = min(len(s), secrets.WINDOW)
+        e = spark.range(1).select(secrets.window_entropy(F.lit(s)).alias("e")).first().e
+        assert abs(e - max(entropy(s[i : i + window]) for i in range(len(s) - window + 1))) < 1e-9, s
+
+
+def plain_spans(text):
+    """(start, kind, end) of base and entropy spans."""
+    base = ((r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("AKIA[A-Z0-9]+", 0, 20), ("[0-9a-f]+", 0, 24))
+    spans = [(m.start(), k, m.end()) for k, (p, g, least) in enumerate(base) for m in re.finditer(p, text, re.A) if len(m[g]) >= least]
+    more = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        x = m[0]
+        limit = next(e for p, e in secrets.CLASSES if re.search(p, x))
+        if all(re.search(p, x) for p in secrets.NEEDS) and not any(re.search(p, x) for p in secrets.ALLOW) and not any(a < m.end() and m.start() < z for a, _, z in spans):
+            if max(entropy(x[j : j + 20]) for j in range(len(x) - 19)) >= limit - 1e-12:
+                more.append((m.start(), 3, m.end()))
+    return sorted(spans + more)
+
+
+def plain_redacted(text):
+    out, end = "", 0
+    for a, _, z in plain_spans(text):
+        if a >= end:
+            out += text[end:a] + secrets.MASK
+        end = max(end, z)
+    return out + text[end:]
+
+
+def test_entropy_spans_against_a_plain_version(spark):
+    import random
+
+    r = random.Random(3)
+    pool = [lambda: r.choice(["token: ", "secret=", "", " ", "\n", "x", "é"]), lambda: "".join(r.choices("0123456789abcdef", k=r.randint(5, 40))), lambda: "".join(r.choices(string.ascii_letters + string.digits + "+/_=-", k=r.randint(10, 60))), lambda: "ordinary-words/in-a-path ", lambda: "2024-01-31T00:00:00-and-so-on ", lambda: "550e8400-e29b-41d4-a716-446655440000 "]
+    texts = ["".join(r.choice(pool)() for _ in range(r.randint(1, 40))) for _ in range(150)]
+    want = {i: ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in plain_spans(text)) for i, text in enumerate(texts)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secrets.secret_spans(rows).collect()}
+    assert got == want and sum("entropy" in x for x in want.values()) > 20
+    for x in secrets.redact(rows).collect():
+        assert x.text == plain_redacted(texts[x.doc_id])
+
 
+def test_many_keys_in_one_text(spark):
+    import time
+
+    text = "".join(f"key{i} = {hashlib.sha1(str(i).encode()).hexdigest()}\n" for i in range(4000))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    assert secrets.secret_spans(rows).first().n_hex == 4000 and secrets.redact(rows).first().text.count(secrets.MASK) == 4000
+    assert time.perf_counter() - began < 60
 
 def test_classifier(spark, docs, empty):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -316,6 +567,101 @@ def test_classifier(spark, docs, empty):
     assert rules.quality_scores(empty, labels, learn).count() == 0
 
 
+def test_statistics_against_plain_ones(docs):
+    got = {r.doc_id: tuple(r)[1:] for r in rules.text_statistics(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
+    for r in docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).collect():
+        text = r.text or ""
+        t, size = tokens(text), max(len(text.encode()), 1)
+        n, lines = max(len(t), 1), max(text.count("\n") + bool(text), 1)
+        count = lambda test: sum(map(test, text))  # noqa: E731, B023
+        upper, lower, high = count(lambda c: "A" <= c <= "Z"), count(lambda c: "a" <= c <= "z"), sum(b >= 0x80 for b in text.encode())
+        wordy = [x for x in text.split("\n") if tokens(x)]
+        windows = collections.Counter(tuple(t[k : k + 8]) for k in range(len(t) - 7))
+        hit = {p for k in range(len(t) - 7) if windows[tuple(t[k : k + 8])] > 1 for p in range(k, k + 8)}
+        want = (
+            math.log1p(len(t)), sum(map(len, t)) / n, count(lambda c: c in "#*$%&|<>") / n, (len(wordy) - len(set(wordy))) / lines, len(hit) / n, upper / max(upper + lower, 1), count(lambda c: c in string.digits) / size,
+            count(lambda c: c in string.punctuation) / size, text.count("!") / n, 1 - (len(t) - len(set(t))) / n, len(t) / lines, (upper + lower + high) / size,
+        )
+        assert got[r.doc_id] == pytest.approx(want), r.doc_id
+
+
+def test_scores_are_those_of_the_rules(spark, docs):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    learn = queries.fold(3) != 1
+    stats = rules.text_statistics(docs).collect()
+    quality_of = {r.doc_id: r.quality for r in labels.collect() if crc(r.doc_id) % 3 != 1 and r.quality in (0, 1)}
+    import numpy as np
+
+    rows = spark.createDataFrame([r for r in stats if r.doc_id in quality_of], "doc_id long, " + ", ".join(f"{c} double" for c in rules.STATS)).orderBy(F.xxhash64("doc_id"), "doc_id", *rules.STATS).collect()
+    intercept, found = rules.fit(np.array([tuple(r)[1:] for r in rows], float), np.array([quality_of[r.doc_id] for r in rows], float))
+    assert 0 < len(found) < rules.TREES * 14 and all(1 <= len(rule) <= rules.DEPTH for _, rule in found)
+    want = []
+    for r in stats:
+        x = tuple(r)[1:]
+        total = intercept + sum(w for w, rule in found if all(x[j] <= t if low else x[j] > t for j, low, t in rule))
+        want.append((r.doc_id, round(1 / (1 + math.exp(-total)), 6)))
+    got = rules.quality_scores(docs, labels, learn).collect()
+    assert by_id((r.doc_id, round(r.score, 6)) for r in got) == by_id(want) and all(r.predicted == (r.score >= 0.5) for r in got)
+
+
+def plain_cut(text, grams):
+    """The text without the words of benchmark windows and the separators behind them, and the items found."""
+    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))]
+    w, hit, items = words(text), set(), set()
+    for m in {len(g) for g in grams}:
+        for k in range(len(w) - m + 1):
+            if found := grams.get(tuple(w[k : k + m])):
+                items |= found
+                hit |= set(range(k, k + m))
+    out, end = "", 0
+    for k, (a, _) in enumerate(at):
+        if k in hit:
+            out += text[end:a]
+            end = at[k + 1][0] if k + 1 < len(at) else len(text)
+    return out + (text or "")[end:], items
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    real = spark.read.parquet(f"{SMALL}/documents.parquet").limit(120)
+    text = real.first().text
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text")
+    passage = bench.filter("length(text) > 60").first().text
+    more = [(None, None), (None, "short words in some plain text"), (9001, ""), (9002, "12 34"), (9003, text), (9003, text), (9004, text.upper()), (9005, f"{text} {passage} and more of it"), (9006, "the key token: abcdefgh1234 was here " + " ".join(f"word{i}" for i in range(40)))]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in more], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = real.select(*odd.columns).unionByName(odd).withColumns({c: F.lit("x") for c in ("score", "lang_pred", "hash", "key", "stays", "pos")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = langid.train(docs)
+    named = {(r.doc_id, r.text): r for r in langid.predict(docs, model, ("doc_id", "text")).collect()}
+    kept = sorted(((r.doc_id, r.text) for r in docs.collect() if named[r.doc_id, r.text].lang_pred != "und" and named[r.doc_id, r.text].score >= 0.5), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    # Ids of one thousand, so that the plain version compares all pairs.
+    _, least = weighted_classes([(k, t) for k, (_, t) in enumerate(kept)])
+    kept = [r for k, r in enumerate(kept) if least[k] == k]
+    grams = {}
+    for r in bench.collect():
+        w = words(r.text)
+        for k in range(max(len(w) - 7, 1) if w else 0):
+            grams.setdefault(tuple(w[k : k + 8]), set()).add(r.item_id)
+    cut = [(i, *plain_cut(t, grams)) for i, t in kept]
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(queries.RANKS), special_tokens={})
+    want = []
+    for i, t, items in cut:
+        if len(items) < 2:
+            clean = plain_redacted(t)
+            ids = plain.encode_ordinary(clean)
+            want.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(clean.encode()).hexdigest()))
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert by_id(got) == by_id(want)
+    assert 9004 not in {r[0] for r in got} and len(want) > 60
+    empty = str(tmp_path / "none")
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    bench.write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
