@@ -2,13 +2,17 @@
 
 A stage gets the rows its predecessor kept. Rejected documents are gone, cut or masked text stays
 cut or masked; the last stage returns the token ids of what is left.
+
+Defined cases: documents with null or empty text, or without a letter, go at language_id; null doc_ids
+take part everywhere; of repeated rows near_dedup keeps one; texts of any length are taken whole; without
+a learnable language nothing is left; an empty table gives an empty result of the same columns; further
+columns of documents, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from minnow.llm import bpe, decontaminate, langid, neardup, secrets
 from minnow.llm.cluster import stored, table
@@ -20,8 +24,7 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a recognisable language stay."""
-    found = langid.predict(docs, langid.train(docs), tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return langid.recognised(docs, langid.train(docs), LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
