@@ -4,7 +4,7 @@ Benchmark texts become a set of normalised 8-word windows. The hashes of the set
 one bitmap of bounded size; training texts are split into words, and the hash of every window is looked
 up in it as the rows are scanned. Only windows that hit leave their row, with their words, and are
 verified by a join with the set itself. The plan is the same for a benchmark of any size: a larger one
-gets a larger bitmap, and beyond MOST_BITS only more windows that the join throws away.
+gets a larger bitmap, and beyond the bitmap's bound only more windows that the join throws away.
 
 Defined cases: null or wordless texts have no windows; an item of fewer than 8 words is one window;
 null item_ids are left out; repeated item rows count once; repeated document rows each get a result;
@@ -15,19 +15,15 @@ result; other columns are ignored, and kept by decontaminate(), whatever their n
 from __future__ import annotations
 
 import string
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minnow.llm.bits import Members
 from minnow.llm.cluster import stored
 
 #: Words of a window.
 SIZE = 8
-#: Bits of the bitmap for each window of the benchmark, and in all (32 MB).
-BITS_EACH, MOST_BITS = 32, 1 << 28
-#: How far a window's hash is shifted for each of the bits that stand for it.
-SHIFTS = (0, 18, 36)
 # The characters of words, lower case and either case, and separators.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -62,20 +58,6 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return grams.groupBy("__m", "__gram", "__g").agg(F.collect_set("__item").alias("__items"))
 
 
-def bitmap(grams: DataFrame, n_bits: int) -> DataFrame:
-    """One row: array<bigint> of n_bits bits, those of the hashes of grams set."""
-    places = F.explode(F.array(*(F.shiftrightunsigned("__g", k).bitwiseAND(F.lit(n_bits - 1)) for k in SHIFTS)))
-    marked = grams.select(places.alias("p")).groupBy(F.shiftrightunsigned("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("w"))
-    every = grams.sparkSession.range(n_bits >> 6).withColumnRenamed("id", "i").join(marked, "i", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("w", F.lit(0).cast("long")).alias("w")))), lambda x: x["w"]).alias("bits"))
-
-
-def in_bitmap(bits: Column, hash_: Column, n_bits: int) -> Column:
-    """Whether all bits of a hash are set."""
-    places = [F.shiftrightunsigned(hash_, k).bitwiseAND(F.lit(n_bits - 1)) for k in SHIFTS]
-    return reduce(lambda a, b: a & b, [F.getbit(F.get(bits, F.shiftrightunsigned(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in places])
-
-
 def scan(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A row (doc_id, __row, n_words) for each row of docs, and of those with hits (doc_id, __row, __hits, __items).
 
@@ -83,7 +65,6 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     grams = stored(benchmark_windows(benchmark))
     sizes = sorted(r[0] for r in grams.select("__m").distinct().collect())  # at most SIZE
-    n_bits = min(MOST_BITS, 1 << max(6, (BITS_EACH * grams.count() - 1).bit_length()))
     # The hashes of all windows of each size, one size after the other, behind a null that stands for the row itself.
     counts = [f"greatest(__n - {m - 1}, 0)" for m in sizes]
     before = ["1" + "".join(f" + {c}" for c in counts[:j]) for j in range(len(sizes) + 1)]
@@ -91,7 +72,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = hashed(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), "text"), "doc_id", "__row")
     rows = base.select("doc_id", "__row", "__n", "__w", F.posexplode_outer(hashes).alias("__k", "__g"))
     if sizes:
-        rows = rows.filter(F.col("__g").isNull() | in_bitmap(bitmap(grams, n_bits).scalar(), F.col("__g"), n_bits))
+        rows = rows.filter(F.col("__g").isNull() | Members(grams, "__g").test(F.col("__g")))
     which = lambda values: F.expr("CASE WHEN __k = 0 THEN 0 " + " ".join(f"WHEN __k < {before[j + 1]} THEN {values[j]}" for j in range(len(sizes))) + " END")
     rows = rows.select("doc_id", "__row", "__n", "__w", which(sizes).alias("m"), which([f"__k - ({x})" for x in before]).alias("pos"))
     found = stored(rows.select("doc_id", "__row", F.col("__n").cast("long").alias("n_words"), "m", "pos", F.when(F.col("m") > 0, F.array_join(F.slice("__w", F.col("pos") + 1, F.col("m")), " ")).alias("__gram")))
@@ -140,16 +121,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     With remove="documents", a document goes if it holds windows of least_items items. n_chars, where docs has it, follows the text.
     """
     facts = stored(scan(docs, benchmark)[1].select(F.col("doc_id").alias("__id"), "__row", "__hits", (F.size("__items") >= least_items).alias("__drop")))
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    # The facts are few and stored, so that Spark knows their size and broadcasts them; texts are shuffled only where they are many.
-    joined = docs.join(facts, (key == facts["__row"]) & docs["doc_id"].eqNullSafe(facts["__id"]), "left").filter(~F.coalesce(facts["__drop"], F.lit(False)))
+    # Only rows that may have hits, by the bitmap of their hashes, meet the facts; the other texts are joined with nothing.
+    may = F.coalesce(Members(facts, "__row").test(F.xxhash64("doc_id", "text")), F.lit(False))
+    at = lambda c: F.col(f"d.`{c}`")
+    hits, drop = F.col("f.__hits"), F.coalesce(F.col("f.__drop"), F.lit(False))
+    on = (F.xxhash64(at("doc_id"), at("text")) == F.col("f.__row")) & at("doc_id").eqNullSafe(F.col("f.__id"))
+    joined = docs.filter(may).alias("d").join(facts.alias("f"), on, "left").filter(~drop)
     out = []
-    cut = F.when(facts["__hits"].isNotNull(), without_spans(docs["text"], facts["__hits"])).otherwise(docs["text"])
+    cut = F.when(hits.isNotNull(), without_spans(at("text"), hits)).otherwise(at("text"))
     for c in docs.columns:
         if remove == "spans" and c == "text":
             out.append(cut.alias("text"))
         elif remove == "spans" and c == "n_chars":
-            out.append(F.when(facts["__hits"].isNotNull(), F.char_length(cut)).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            out.append(F.when(hits.isNotNull(), F.char_length(cut)).otherwise(at("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
-            out.append(docs[c])
-    return joined.select(*out)
+            out.append(at(c).alias(c))
+    return docs.filter(~may).unionByName(joined.select(*out))
