@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minnow.llm import kernel as K
+from minnow.llm.bits import Members
 from minnow.llm.cluster import ship, stored
 from minnow.llm.graph import components
 
@@ -51,7 +52,7 @@ SKETCH, PART, FLOOR, DAMP, LEVELS = 1 << 22, 1 << 16, 1e-3, 0.15, 16
 SPREAD = (HASHES * THRESHOLD * (1 - THRESHOLD)) ** 0.5
 AGREE = int(HASHES * THRESHOLD - 4 * SPREAD)
 #: Texts of a part of a bucket and of a lot of parts that one call compares, and shingles of either.
-GROUP, LOT, HELD = 2048, 8192, 4 << 20
+GROUP, LOT, HELD = 2048, 2048, 4 << 20
 #: Pairs of rows whose samples are compared at once.
 PAIRS = 1 << 18
 #: The band of rows that are compared whatever other bands they share.
@@ -176,7 +177,7 @@ def samples(rows: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows: i
 
 
 def signatures(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """doc_id, hash (of the text), key (16 bytes, null for texts without words), size (shingles), bands (BANDS int64) and marks (a byte a sample) of each row."""
+    """doc_id, hash (of doc_id and text), key (16 bytes, null for texts without words), size (shingles), bands (BANDS int64) and marks (a byte a sample) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,24 +199,29 @@ def signatures(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 ], ["doc_id", "hash", "key", "size", "bands", "marks"])
 
     rest = [T.StructField("hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType())]
-    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *rest]))
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("hash"), "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *rest]))
 
 
 def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key and shingles (sorted uint32 with repeats, as bytes) of the texts wanted (doc_id, hash); one row a key."""
+    """key and shingles (sorted uint32 with repeats, as bytes) of the rows wanted (doc_id, hash); one row a key.
+
+    Rows are first looked up in the bitmap of the hashes wanted, so that no text is shuffled or leaves the JVM in vain.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, data, off in K.blocks(batch.column(0), BLOCK):
+            for at, end, data, off in K.blocks(batch.column(2), BLOCK):
                 rows, shingle, counts, keys = shingles(data, off)
                 at_row = np.searchsorted(rows, np.arange(end - at + 1))
                 have = np.flatnonzero(np.diff(at_row))
                 sets = [np.repeat(shingle[at_row[i] : at_row[i + 1]], counts[at_row[i] : at_row[i + 1]]).tobytes() for i in have]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i].tobytes() for i in have], pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
+                ours = pa.array(have + at)
+                yield pa.RecordBatch.from_arrays([*(c.take(ours) for c in batch.columns[:2]), pa.array([keys[i].tobytes() for i in have], pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "hash", "key", "shingles"])
 
-    rows = docs.select("doc_id", "text").withColumn("hash", F.xxhash64("text"))
-    on = (rows["hash"] == wanted["hash"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])
-    return rows.join(wanted, on, "left_semi").select("text").mapInArrow(run, "key binary, shingles binary").dropDuplicates(["key"])
+    rows = docs.select("doc_id", "text").withColumn("hash", F.xxhash64("doc_id", "text")).filter(Members(wanted, "hash").test(F.col("hash")))
+    found = rows.select("doc_id", "hash", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("hash", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("shingles", T.BinaryType())]))
+    on = (found["hash"] == wanted["hash"]) & found["doc_id"].eqNullSafe(wanted["doc_id"])
+    return found.join(wanted, on, "left_semi").select("key", "shingles").dropDuplicates(["key"])
 
 
 def in_lots(rows: DataFrame) -> DataFrame:
@@ -448,7 +454,7 @@ def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, hash (of the text), key, root, class_id (least doc_id), class_size (rows) of each row; key and root are null for texts without words."""
+    """doc_id, hash (of doc_id and text), key, root, class_id (least doc_id), class_size (rows) of each row; key and root are null for texts without words."""
     ship(docs.sparkSession)
     n, counts = document_frequencies(docs)
     level = levels(n, counts)
@@ -465,17 +471,19 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs with one row of each class, that of the least doc_id; texts without words all stay.
 
-    Rows are known by doc_id and the hash of their text, so only the list of those that go is joined to docs (Spark
-    broadcasts it while the stored list is small, else docs is shuffled once). Of rows equal in both, one stays.
+    Rows are known by doc_id and a hash of both. Those that may be on the list of rows that go, by the bitmap of its
+    hashes, are joined with it; the other texts are joined with nothing. Of rows equal in both, one stays.
     """
     found = stored(classes(docs).filter("key is not null").groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n")))
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best")).select("root", F.col("best.doc_id").alias("best_id"), F.col("best.hash").alias("best_hash"))
     judged = found.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("hash") == F.col("best_hash")))
     listed = stored(judged.filter("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "stays"))
-    on = (F.xxhash64(docs["text"]) == listed["__hash"]) & docs["doc_id"].eqNullSafe(listed["__id"])
-    kept = docs.join(listed, on, "left_anti")
+    may, at = Members(listed, "__hash").test(F.xxhash64("doc_id", "text")), lambda c: F.col(f"d.`{c}`")
+    on = (F.xxhash64(at("doc_id"), at("text")) == F.col("l.__hash")) & at("doc_id").eqNullSafe(F.col("l.__id"))
+    some = docs.filter(may).alias("d")
+    kept = docs.filter(~may).unionByName(some.join(listed.alias("l"), on, "left_anti"))
     repeats = listed.filter("stays")
     if not repeats.take(1):
         return kept
-    again = docs.join(repeats, on, "left_semi").groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash")).agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    again = some.join(repeats.alias("l"), on, "left_semi").groupBy(at("doc_id").alias("__id"), F.xxhash64(at("doc_id"), at("text")).alias("__hash")).agg(F.first(F.struct(*map(at, docs.columns))).alias("__row"))
     return kept.unionByName(again.select("__row.*"))
