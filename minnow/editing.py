@@ -7,8 +7,8 @@ from collections.abc import Callable
 from typing import Any
 
 from minnow.catalog import Catalog
-from minnow.engine import TIERS, answered
-from minnow.errors import QuerySpecError
+from minnow.engine import answered, as_text
+from minnow.errors import QuerySpecError, ReadOnlyError
 from minnow.metadata import Editor
 from minnow.plans.planner import Limits
 
@@ -45,8 +45,6 @@ class Workbench:
         return self.done(self.editor.edit_table, table, purpose=purpose, description=description, synonyms=synonyms)
 
     def edit_column(self, table: str, column: str, text: str | None = None, values: str | None = None, synonyms: str | None = None, searchable: bool | None = None) -> dict:
-        if not isinstance(searchable, bool | None):
-            raise QuerySpecError("searchable is true or false")
         return self.done(lambda t, column, **texts: self.editor.edit_column(t, column, searchable=searchable, **texts), table, column=column, text=text, values=values, synonyms=synonyms)
 
     def edit_relationship(self, table: str, name: str, text: str) -> dict:
@@ -59,6 +57,8 @@ class Workbench:
         return self.done(lambda _, **texts: self.editor.edit_glossary(**texts), None, term=term, definition=definition, synonyms=synonyms, tables=tables)
 
     def done(self, edit: Callable[..., Any], table: str | None, **texts: str | None) -> dict:
+        if not self.editor.engine.switches.allow_metadata_writes:
+            raise ReadOnlyError("descriptions cannot be edited here")
         for field, value in texts.items():
             if value is not None:
                 safe(field, value)
@@ -66,10 +66,13 @@ class Workbench:
         return {"edited": texts["term"] if table is None else self.catalog.table(table).name}
 
     def tools(self, tier: str = FULL) -> dict[str, Callable[..., dict]]:
-        if tier != FULL:
+        if tier != FULL or not self.editor.engine.switches.allow_metadata_writes:
             return self.editor.engine.tools(tier)
         edits = (self.edit_table, self.edit_column, self.edit_relationship, self.edit_concept, self.edit_glossary)
-        return self.editor.engine.tools(TIERS[-1]) | {f.__name__: f for f in edits}
+        return self.editor.engine.tools(FULL) | {f.__name__: f for f in edits}
 
     def dispatch(self, name: str, arguments: dict[str, Any], tier: str = FULL) -> dict:
-        return answered(self.catalog.fingerprint, self.tools(tier), name, arguments)
+        return answered(lambda: self.catalog.fingerprint, self.tools(tier), name, arguments)
+
+    def dispatch_text(self, name: str, arguments: dict[str, Any], tier: str = FULL) -> str:
+        return as_text(self.dispatch(name, arguments, tier), arguments)

@@ -12,11 +12,59 @@ class EngineError(Exception):
 
 
 class ConfigError(EngineError):
-    """A catalog, key or limit that cannot be right."""
+    """A setting of the engine that cannot be right."""
+
+
+class LimitConfigError(ConfigError):
+    """Limits that are no whole numbers from 1, or that contradict each other."""
+
+
+class KeyConfigError(ConfigError):
+    """A key over columns that are not there."""
+
+
+class RelationshipConfigError(ConfigError):
+    """Two relationships of one table with one name."""
+
+
+class EmbeddingError(ConfigError):
+    """An embedding callback whose vectors do not fit the texts or each other."""
+
+
+class ToolConfigError(ConfigError):
+    """A custom tool without a description, of an unknown tier, or with a name that is taken."""
+
+
+class SourceError(EngineError):
+    """A source of tables that cannot be read as it is described."""
 
 
 class UnknownNameError(EngineError):
-    """A table, column, relationship, concept or measure that is not there, or that is hidden."""
+    """A name that is not there, or that is hidden."""
+
+
+class UnknownTableError(UnknownNameError):
+    pass
+
+
+class UnknownColumnError(UnknownNameError):
+    pass
+
+
+class UnknownRelationshipError(UnknownNameError):
+    pass
+
+
+class UnknownConceptError(UnknownNameError):
+    pass
+
+
+class UnknownMeasureError(UnknownNameError):
+    pass
+
+
+class UnknownToolError(UnknownNameError):
+    pass
 
 
 class SensitiveColumnError(EngineError):
@@ -24,7 +72,19 @@ class SensitiveColumnError(EngineError):
 
 
 class QuerySpecError(EngineError):
-    """A request of the wrong shape or kind."""
+    """A request of the wrong shape."""
+
+
+class ArgumentError(QuerySpecError):
+    """An argument of a tool that is missing, unknown or of the wrong type."""
+
+
+class KindError(QuerySpecError):
+    """An operator, function or value that does not fit a column's kind."""
+
+
+class NotSearchableError(QuerySpecError):
+    """A search in a table or column that is not searchable."""
 
 
 class LimitExceededError(EngineError):
@@ -37,3 +97,11 @@ class ExecutionError(EngineError):
 
 class MetadataError(EngineError):
     """A metadata file that is malformed, or that does not fit the catalog."""
+
+
+class MetadataConflictError(MetadataError):
+    """A metadata file that has changed on disk since it was loaded."""
+
+
+class ReadOnlyError(EngineError):
+    """An edit where edits are not allowed."""

@@ -19,7 +19,8 @@ from pyspark.sql import SparkSession
 
 from minnow.catalog import Catalog, ForeignKey, Relationship
 from minnow.engine import Engine
-from minnow.errors import EngineError, MetadataError, UnknownNameError
+from minnow.errors import EngineError, MetadataConflictError, MetadataError, UnknownColumnError
+from minnow.notes import ColumnNote, TableNote, Term
 from minnow.plans.planner import Planner, Policy
 from minnow.plans.spec import Filter, Measure, QuerySpec, build
 
@@ -28,6 +29,8 @@ FORMAT = "1"
 SECTIONS = ("Description", "Columns", "Relationships", "Concepts", "Measures")
 FLAGS = ("searchable", "fulltext", "sensitive", "hidden")
 MOST_DISTINCT, MOST_SAMPLES = 1000, 10
+#: What holds where project.md turns the value index on and says no more.
+DISTINCT, SAMPLES = 200, 3
 
 STEM = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?\Z")
 BULLET = re.compile(r"- (?P<name>[^:\[\]]+?)(?: \[(?P<flags>[^\]]*)\])?:(?: (?P<text>.*))?\Z")
@@ -184,7 +187,7 @@ def read_table(text: str, name: str) -> Document:
 
 def read_project(text: str, name: str = "project.md") -> Document:
     doc = checked(read(text, name), name, ("description", "value_index", "value_index_max_distinct", "samples_per_column"), {})
-    if doc.get("value_index", "on") not in ("on", "off"):
+    if doc.get("value_index", "off") not in ("on", "off"):
         raise MetadataError(f"{name}: value_index is on or off")
     for key, most in (("value_index_max_distinct", MOST_DISTINCT), ("samples_per_column", MOST_SAMPLES)):
         value = doc.get(key, "1")
@@ -209,7 +212,7 @@ def read_relationships(text: str, name: str = "relationships.md") -> tuple[Docum
         a, b = (words(e["columns"]) for e in ends)
         if len(a) != len(b):
             raise MetadataError(f"{name}: {section}: from and to have the same number of columns")
-        out.append(Relationship(section, ends[0]["table"], ends[1]["table"], tuple(zip(a, b, strict=True)), found["cardinality"] == "to_many"))
+        out.append(Relationship(section, ends[0]["table"], ends[1]["table"], tuple(zip(a, b, strict=True)), found["cardinality"] == "to_many", found.get("text", "")))
     return doc, tuple(out)
 
 
@@ -231,43 +234,55 @@ class Metadata:
     def apply(self, spark: SparkSession, catalog: Catalog, **more: Any) -> Engine:
         """An engine over the catalog with all that the files say; what the catalog lacks is refused."""
         renamed: dict[tuple[str, str], str] = {}
-        hidden, sensitive, searchable, concepts, measures, purposes = set(), set(), {}, {}, {}, {}
+        hidden, sensitive, fulltext, searchable, concepts, measures, notes, texts = set(), set(), set(), {}, {}, {}, {}, {}
         for name, doc in self.tables.items():
             t, where = catalog.table(name), f"tables/{name}.md"
-            purposes[t.name] = doc.get("purpose")
+            columns = {}
             for x in doc.items.get("Columns", ()):
                 key = (t.name, t.column(x.name).name)
                 hidden |= {key} if "hidden" in x.flags else set()
                 sensitive |= {key} if "sensitive" in x.flags else set()
+                fulltext |= {key} if "fulltext" in x.flags else set()
                 if {"searchable", "fulltext"} & set(x.flags):
                     searchable[t.name] = (*searchable.get(t.name, ()), key[1])
+                columns[key[1]] = ColumnNote(x.text, words(x.get("values")), words(x.get("synonyms")), "fulltext" in x.flags)
             for x in doc.items.get("Relationships", ()):
                 old = catalog.relationship(t, x.get("renames") or x.name).name
                 if old != x.name:
                     renamed[t.name, old] = x.name
+                texts[t.name, x.name] = x.text
             for x in doc.items.get("Concepts", ()):
                 concepts[t.name, x.name] = parsed(x, "where", Filter, where)
             for x in doc.items.get("Measures", ()):
                 measures[t.name, x.name] = parsed(x, "expr", Measure, where)
+            said = {s: {x.name: x.text for x in doc.items.get(s, ())} for s in ("Concepts", "Measures")}
+            notes[t.name] = TableNote(doc.get("purpose"), " ".join(doc.prose.get("Description", "").split()), words(doc.get("synonyms")), columns, said["Concepts"], said["Measures"])
         for r in self.declared:
             for a, b in r.pairs:
                 catalog.table(r.source).column(a), catalog.table(r.target).column(b)
-        keys = [ForeignKey(k.table, k.columns, k.target, k.target_columns) for k in catalog.foreign_keys]
-        found = catalog.tables.values()
-        full = Catalog({t.name: t.frame for t in found}, {t.name: t.primary_key for t in found}, keys, renamed, self.declared, {t.name: t.row_estimate for t in found if t.row_estimate is not None})
+        estimates = catalog.tables.estimates
+        frames = {n: t.frame for n, t in catalog.tables.loaded.items()}
+        full = Catalog(catalog.tables.frames | frames, catalog.keys, catalog.foreign_keys, renamed, self.declared, estimates, texts)
         planner = Planner(full, Policy(), more.get("limits", Engine.limits), lambda _: (), concepts, measures, Engine.now)
         for table, name in concepts:
             planner.plan(QuerySpec(table, concepts=(name,)))
         for table, name in measures:
             planner.plan(QuerySpec(table, measures=(Measure("measure", name),)))
-        terms = {}
-        for x in self.glossary.items.get("Terms", ()):
-            for table in words(x.get("tables")):
-                catalog.table(table)
-            terms |= {term: x.text for term in (x.name, *words(x.get("synonyms")))}
-        cap = int(self.project.get("value_index_max_distinct", str(Engine.index_cap))) if self.project.get("value_index", "on") == "on" else 0
-        more = {"index_cap": cap, "index_samples": int(self.project.get("samples_per_column", str(Engine.index_samples)))} | more
-        return Engine(spark, full, policy=Policy(frozenset(hidden), frozenset(sensitive)), concepts=concepts, measures=measures, searchable=searchable, purposes=purposes, glossary=terms, **more)
+        terms = tuple(Term(x.name, x.text, words(x.get("synonyms")), tuple(catalog.table(t).name for t in words(x.get("tables")))) for x in self.glossary.items.get("Terms", ()))
+        cap = int(self.project.get("value_index_max_distinct", str(DISTINCT))) if self.project.get("value_index", "off") == "on" else 0
+        more = {"index_cap": cap, "index_samples": int(self.project.get("samples_per_column", str(SAMPLES)))} | more
+        return Engine(spark, full, policy=Policy(frozenset(hidden), frozenset(sensitive)), concepts=concepts, measures=measures, searchable=searchable, fulltext=frozenset(fulltext), notes=notes, glossary=terms, **more)
+
+    def problems(self, spark: SparkSession, catalog: Catalog) -> list[str]:
+        """What keeps the files from being applied to a catalog, file by file; nothing where all is well."""
+        out = []
+        parts = [replace(self, tables={n: d}, glossary=Document("glossary"), declared=()) for n, d in self.tables.items()]
+        for part in (*parts, replace(self, tables={})):
+            try:
+                part.apply(spark, catalog)
+            except EngineError as e:
+                out.append(str(e))
+        return out
 
 
 class Store:
@@ -311,8 +326,10 @@ class Editor:
         path, text = self.store.path(*parts), after.render(order)
         disk = self.store.text(*parts)
         if (None if disk is None else reader(disk, path.name)) != before:
-            raise MetadataError(f"{path.name} has changed on disk; load it again")
+            raise MetadataConflictError(f"{path.name} has changed on disk; load it again")
         doc = reader(text, path.name)
+        if doc.render(order) != text or any(getattr(doc, part) != getattr(after, part) for part in ("title", "head")) or {s: x for s, x in doc.items.items() if x} != {s: x for s, x in after.items.items() if x}:
+            raise MetadataError(f"{path.name} would not be read as it was meant")
         new = replace(self.metadata, tables=self.metadata.tables | {parts[1]: doc}) if parts[0] == "tables" else replace(self.metadata, glossary=doc)
         engine = self.build(new)
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -337,7 +354,7 @@ class Editor:
             t = self.engine.catalog.table(table)
             name = t.column(column).name
             if (t.name, name) in self.engine.policy.hidden:
-                raise UnknownNameError(f"unknown column of {t.name}: {column!r}")
+                raise UnknownColumnError(f"unknown column of {t.name}: {column!r}")
             x = d.find("Columns", name)
             flags = x.flags if searchable is None else (*(f for f in x.flags if f != "searchable"), *(["searchable"] if searchable else []))
             return d.put("Columns", replace(x, text=x.text if text is None else text, flags=flags).with_(values=values, synonyms=synonyms, source=f"agent, {self.today().isoformat()}"))

@@ -17,7 +17,8 @@ MOST_CHARS = 80
 def bm25(docs: DataFrame, key: str, query: list[str], field_weights: dict[str, float], tokens: Callable[[Column], Column] = X.tokens) -> DataFrame:
     """key and score > 0 of rows that hold words of query (already tokens; repeats add up).
 
-    Only the query's words are counted, within the row; corpus statistics are one aggregate row.
+    Only the query's words are counted, within the row, and rows are read once: their counts, a few numbers each, go
+    through one exchange that the statistics of the corpus (one row) and the scores share.
     """
     words = [F.col(f"`{f}`") for f in field_weights]
     rows = docs.select(F.col(key), *(tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) for f in field_weights))
@@ -29,14 +30,15 @@ def bm25(docs: DataFrame, key: str, query: list[str], field_weights: dict[str, f
         return sum(parts[1:], parts[0])
 
     counted = rows.select(key, weighted(F.size).alias("__len"), *(weighted(lambda w, t=t: F.size(F.filter(w, lambda y: y == t))).alias(f"__tf{i}") for i, t in enumerate(terms)))
+    counted = counted.repartition(F.col(key))
     total = counted.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *(F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i, t in enumerate(terms):
         tf, df = F.col(f"__tf{i}"), F.col(f"__df{i}")
         idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
         score = score + F.lit(float(query.count(t))) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__len") / F.col("__avg")))
-    held = counted.filter(" or ".join(f"__tf{i} > 0" for i in range(len(terms))) or "false")
-    return held.join(F.broadcast(total)).select(key, score.alias("score")).filter("score > 0")
+    # Rows without a word of the query have score 0; dropping them before the join would make the two sides read apart.
+    return counted.join(F.broadcast(total)).select(key, score.alias("score")).filter("score > 0")
 
 
 def unit(v: Column) -> Column:
@@ -77,16 +79,16 @@ INDEX_SCHEMA = "table string, column string, value string, n long, rank long, co
 def value_index(frame: DataFrame, table: str, columns: list[str], cap: int = 200, samples: int = 3) -> DataFrame:
     """table, column, value, n, rank, complete: the distinct values of each column by frequency, all of them up to cap, else samples.
 
-    One scan a table: columns are unpivoted before the count.
+    One scan a table: columns are unpivoted before the count. Whole values are counted; only what is shown is cut to MOST_CHARS.
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns)))
-    counted = frame.select(pairs.alias("p")).select("p.column", F.substring("p.value", 1, MOST_CHARS).alias("value")).filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    counted = frame.select(pairs.alias("p")).select("p.column", "p.value").filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
     # Whether a column is complete is counted apart, so that no task ever orders more than cap + 1 values of it.
     sizes = counted.groupBy("column").agg(F.count("*").alias("distinct"))
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     top = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
     out = top.join(F.broadcast(sizes), "column").withColumn("complete", F.col("distinct") <= cap)
-    return out.filter(F.col("complete") | (F.col("rank") <= samples)).select(F.lit(table).alias("table"), "column", "value", "n", F.col("rank").cast("long").alias("rank"), "complete")
+    return out.filter(F.col("complete") | (F.col("rank") <= samples)).select(F.lit(table).alias("table"), "column", F.substring("value", 1, MOST_CHARS).alias("value"), "n", F.col("rank").cast("long").alias("rank"), "complete")
 
 
 def value_match(index: DataFrame, question: str, limit: int = 10) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
 from collections.abc import Callable
 from functools import partial
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from minnow.catalog import Catalog, ForeignKey
 from minnow.engine import Engine
 from minnow.functions import text as X
+from minnow.notes import TableNote
 from minnow.operators import retrieval
 from minnow.operators.search import search_test
 from minnow.plans.planner import Limits, Policy
@@ -37,6 +37,7 @@ CONCEPTS = {("orders", "open"): (Filter("o_orderstatus", "in", ("O", "P")),)}
 MEASURES = {("orders", "revenue"): Measure("sum", "o_totalprice")}
 SEARCHABLE = {"part": ("p_name",), "customer": ("c_name",)}
 PURPOSES = {"orders": "Customer orders with their status and total price", "customer": "Customers and their market segment", "part": "Parts that can be ordered", "lineitem": "Positions of orders", "events": "What users did, and when"}
+NOTES = {t: TableNote(purpose) for t, purpose in PURPOSES.items()}
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
@@ -44,7 +45,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
 
 def engine(spark: SparkSession, sf_dir: str, **more) -> Engine:
-    return Engine(spark, catalog(spark, sf_dir), now=lambda: NOW, concepts=CONCEPTS, measures=MEASURES, searchable=SEARCHABLE, purposes=PURPOSES, limits=Limits(max_join_depth=3), **more)
+    return Engine(spark, catalog(spark, sf_dir), now=lambda: NOW, concepts=CONCEPTS, measures=MEASURES, searchable=SEARCHABLE, notes=NOTES, limits=Limits(max_join_depth=3), **more)
 
 
 def run_spec(spark: SparkSession, sf_dir: str, spec: dict, rounded: tuple[str, ...] = (), **more) -> DataFrame:
@@ -72,7 +73,7 @@ SPECS: dict[str, tuple[dict, str] | tuple[dict, str, tuple[str, ...]]] = {
     "filter_ne": ({"table": "orders", "columns": ORDER_COLUMNS, "filters": filters(("o_orderstatus", "ne", "O"))}, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'O'"),
     "filter_lt": ({"table": "part", "columns": ["p_partkey", "p_size"], "filters": filters(("p_size", "lt", 10))}, "SELECT p_partkey, p_size FROM part WHERE p_size < 10"),
     "filter_lte": ({"table": "part", "columns": ["p_partkey", "p_size"], "filters": filters(("p_size", "lte", 10))}, "SELECT p_partkey, p_size FROM part WHERE p_size <= 10"),
-    "filter_gt": ({"table": "part", "columns": ["p_partkey", "p_retailprice"], "filters": filters(("p_retailprice", "gt", 1500))}, "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 1500"),
+    "filter_gt": ({"table": "part", "columns": ["p_partkey", "p_retailprice"], "filters": filters(("p_retailprice", "gt", 905))}, "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 905"),
     "filter_gte": ({"table": "orders", "columns": ORDER_COLUMNS, "filters": filters(("o_orderdate", "gte", "2000-01-01"))}, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'"),
     "filter_in": ({"table": "orders", "columns": ORDER_COLUMNS, "filters": filters(("o_orderstatus", "in", ["P", "F"]))}, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('P', 'F')"),
     "filter_not_in": ({"table": "documents", "columns": ["doc_id", "labels.quality"], "filters": filters(("labels.quality", "not_in", [0]))}, "SELECT documents.doc_id, quality AS labels__quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality NOT IN (0)"),
@@ -112,18 +113,33 @@ SPECS: dict[str, tuple[dict, str] | tuple[dict, str, tuple[str, ...]]] = {
 }
 
 POLICY_SPECS = {
-    "policy_hidden": ({"table": "orders", "group_by": ["customer.c_nationkey"], "measures": [measure("count")]}, "SELECT c_nationkey AS customer__c_nationkey, count(*) AS count FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "policy_default": ({"table": "customer"}, "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer"),
 }
 
+#: Soundex in SQL: the letters' digits (0 for vowels; H and W behind the first letter stand for nothing), equal neighbours once.
+CODES = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
+
+
+def soundex_sql(word: str) -> str:
+    letters = f"regexp_replace(upper({word}), '[^A-Z]', '', 'g')"
+    digits = CODES.format(f"(left({letters}, 1) || regexp_replace(substr({letters}, 2), '[HW]', '', 'g'))")
+    for d in "123456":
+        digits = f"regexp_replace({digits}, '{d}+', '{d}', 'g')"
+    return f"(CASE WHEN {letters} <> '' THEN left({letters}, 1) || left(replace(substr({digits}, 2), '0', '') || '000', 3) END)"
+
+
+#: The codes of a part's words, that of the word looked for, and equal places of a code c with it.
+SOUNDS = f"list_transform(list_filter(string_split(p_name, ' '), lambda w: w <> ''), lambda w: {soundex_sql('w')})"
+ANVUL = soundex_sql("'anvul'")
+ALIKE = "(" + " + ".join(f"CAST(substr(c, {i}, 1) = substr({ANVUL}, {i}, 1) AS INTEGER)" for i in (1, 2, 3, 4)) + ")"
 SEARCHES = {
     "search_exact": (("blue anvil",), ("exact",), "all", "p_name = 'blue anvil'"),
     "search_prefix": (("blu",), ("prefix",), "all", "starts_with(lower(p_name), 'blu')"),
     "search_contains": (("NVI",), ("contains",), "all", "contains(lower(p_name), 'nvi')"),
     "search_levenshtein": (("anvul",), ("levenshtein",), "all", "len(list_filter(string_split(lower(p_name), ' '), lambda w: w <> '' AND levenshtein(w, 'anvul') <= 2)) > 0"),
     "search_fulltext": (("anvil",), ("fulltext",), "all", "list_contains(string_split(lower(p_name), ' '), 'anvil')"),
-    "search_soundex": (("anvul",), ("soundex",), "all", None),
-    "search_difference": (("anvul",), ("difference",), "all", None),
+    "search_soundex": (("anvul",), ("soundex",), "all", "list_contains({sounds}, {anvul})"),
+    "search_difference": (("anvul",), ("difference",), "all", "len(list_filter({sounds}, lambda c: {alike} >= 3)) > 0"),
     "search_all": (("blue", "anv"), ("contains",), "all", "contains(lower(p_name), 'blue') AND contains(lower(p_name), 'anv')"),
     "search_any": (("blue", "anv"), ("contains",), "any", "contains(lower(p_name), 'blue') OR contains(lower(p_name), 'anv')"),
 }
@@ -142,6 +158,40 @@ FROM c, s WHERE a > 0 OR b > 0
 VALUE_COLUMNS = {"orders": ["o_orderstatus", "o_orderpriority"], "customer": ["c_mktsegment"], "events": ["event_type"], "part": ["p_name"]}
 
 
+#: The words of a text, as the tokenizer splits them, in SQL.
+WORDS_SQL = r"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda t: len(t) >= 2 AND t NOT IN ({1}))"
+SINGULAR_SQL = "CASE WHEN ends_with(t, 'ies') AND len(t) > 4 THEN left(t, len(t) - 3) || 'y' WHEN ends_with(t, 'sses') THEN left(t, len(t) - 2) WHEN ends_with(t, 's') AND NOT ends_with(t, 'ss') AND len(t) > 3 THEN left(t, len(t) - 1) ELSE t END"
+
+
+def tokens_sql(text: str) -> str:
+    return f"list_transform({WORDS_SQL.format(text, ', '.join(repr(w) for w in X.STOPWORDS))}, lambda t: {SINGULAR_SQL})"
+
+
+TOKENIZE_SQL = f"SELECT p_partkey, array_to_string({tokens_sql(chr(40) + 'p_name || ' + repr(' HTTPServers boxesOf classes parties') + chr(41))}, ' ') AS tokens FROM part"
+#: Names that hold each of two words by part, sound, edits or trigrams of a word.
+SEARCH_WORD = "(contains(lower(p_name), '{0}') OR list_contains({1}, {2}) OR coalesce(list_min(list_transform(list_filter(string_split(lower(p_name), ' '), lambda w: w <> ''), lambda w: levenshtein(w, '{0}'))), 99) <= 2 OR len(list_intersect({3}, {4})) / greatest(len({3}) + len({4}) - len(list_intersect({3}, {4})), 1) >= 0.3)"
+SEARCH_SQL = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part WHERE " + " AND ".join(SEARCH_WORD.format(w, SOUNDS, soundex_sql(repr(w)), TRIGRAM_SQL.format("p_name"), TRIGRAM_SQL.format(repr(w))) for w in ("blu", "anvul"))
+MATCHED = "which building customers had an urgent click on blue anvil"
+MATCH_SQL = f"""
+, q AS (SELECT unnest({tokens_sql(repr(MATCHED))}) AS t),
+v AS (SELECT "table", "column", value, lower(value) AS low, {tokens_sql('value')} AS w FROM i),
+g AS (
+  SELECT "table", "column", value, max(CASE
+    WHEN len(value) >= 4 AND contains(value, ' ') AND contains('{MATCHED}', low) THEN 4
+    WHEN t = low OR len(w) = 1 AND t = w[1] THEN 3 WHEN len(t) >= 4 AND starts_with(low, t) THEN 2
+    WHEN len(t) >= 5 AND levenshtein(t, w[1]) = 1 THEN 1 ELSE 0 END) AS quality FROM v, q GROUP BY ALL
+) SELECT "table", "column", value, CAST(quality AS BIGINT) AS quality FROM g WHERE quality > 0 ORDER BY quality DESC, "table", "column", value LIMIT 10"""
+#: Both directions of the declared keys, and what a question about open orders of the building segment is given.
+RELATED = [
+    ("nation", "region", "region", "to_one"), ("region", "nation", "nation", "to_many"), ("customer", "nation", "nation", "to_one"), ("nation", "customer", "customer", "to_many"),
+    ("supplier", "nation", "nation", "to_one"), ("nation", "supplier", "supplier", "to_many"), ("orders", "customer", "customer", "to_one"), ("customer", "orders", "orders", "to_many"),
+    ("lineitem", "orders", "orders", "to_one"), ("orders", "lineitem", "lineitem", "to_many"), ("lineitem", "part", "part", "to_one"), ("part", "lineitem", "lineitem", "to_many"),
+    ("lineitem", "supplier", "supplier", "to_one"), ("supplier", "lineitem", "lineitem", "to_many"), ("labels", "documents", "documents", "to_one"), ("documents", "labels", "labels", "to_many"),
+    ("events", "customer", "customer", "to_one"), ("customer", "events", "events", "to_many"),
+]
+CONTEXT = [*(("card", i, t) for i, t in enumerate(("customer", "orders", "lineitem", "nation", "events"))), *(("line", i, t) for i, t in enumerate(("part", "supplier", "region")))]
+
+
 def one(name: str):
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -157,12 +207,14 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def value_index_sql() -> str:
-    pairs = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", substr({c}, 1, 80) AS value FROM {t} WHERE {c} IS NOT NULL" for t, cs in VALUE_COLUMNS.items() for c in cs)
+def value_index_sql(name: str = "") -> str:
+    """The index as a statement, or as the last of some named subqueries."""
+    pairs = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {c} AS value FROM {t} WHERE {c} IS NOT NULL" for t, cs in VALUE_COLUMNS.items() for c in cs)
+    last = 'SELECT "table", "column", substr(value, 1, 80) AS value, n, rank, k <= 50 AS complete FROM r WHERE k <= 50 OR rank <= 3'
     return f"""
 WITH p AS ({pairs}), n AS (SELECT "table", "column", value, count(*) AS n FROM p GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY "table", "column" ORDER BY n DESC, value) AS rank, count(*) OVER (PARTITION BY "table", "column") AS k FROM n)
-SELECT "table", "column", value, n, rank, k <= 50 AS complete FROM r WHERE k <= 50 OR rank <= 3
+{f", {name} AS ({last})" if name else last}
 """
 
 
@@ -177,7 +229,7 @@ def trigram(spark: SparkSession, sf_dir: str, least: float | None) -> DataFrame:
 
 def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = parquet_dir(spark, sf_dir, ["conversations"])
-    frames["turns"] = frames["conversations"].select("conv_id", "turn", F.char_length("text").cast("long").alias("n_chars"))
+    frames["turns"] = frames["conversations"]().select("conv_id", "turn", F.char_length("text").cast("long").alias("n_chars"))
     c = Catalog(frames, {"conversations": ("conv_id", "turn"), "turns": ("conv_id", "turn")}, (ForeignKey("conversations", ("conv_id", "turn"), "turns"),))
     return Engine(spark, c).plan_query({"table": "conversations", "columns": ["conv_id", "turn", "role", "turns.n_chars"]}, separator="__").df
 
@@ -209,6 +261,35 @@ def introspect(spark: SparkSession, sf_dir: str, columns: bool) -> DataFrame:
     return spark.createDataFrame([(t.name, len(t.columns), ",".join(t.primary_key)) for t in c.tables.values()], "table string, columns int, primary_key string")
 
 
+def values_sql(rows: list[tuple], names: str) -> str:
+    text = ", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, (bool, int)) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    return f"(VALUES {text}) AS v({names})"
+
+
+def listed_sql(fields: str, more: str = "") -> str:
+    """fields over the columns of the registered tables, as DuckDB knows them."""
+    keys = values_sql([(t, c, i + 1) for t, k in PRIMARY_KEYS.items() for i, c in enumerate(k)], "kt, kc, kp")
+    tables = values_sql([(t, PURPOSES.get(t, "")) for t in TABLES], "tt, purpose")
+    kinds = "CASE WHEN data_type IN ('INTEGER', 'BIGINT') THEN 'integer' WHEN data_type = 'DOUBLE' THEN 'float' WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'text' END"
+    types = "CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE 'timestamp_ntz' END"
+    return f"""
+WITH c AS (
+  SELECT DISTINCT table_name, column_name, CAST(ordinal_position AS INTEGER) - 1 AS position, {kinds} AS kind, {types} AS type, coalesce(kp, 0) AS key_position, purpose
+  FROM information_schema.columns JOIN {tables} ON table_name = tt LEFT JOIN {keys} ON table_name = kt AND column_name = kc
+) SELECT {fields} FROM c {more}"""
+
+
+def policed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a caller gets for each column of customer, under POLICY, by path from orders: hidden is as good as unknown."""
+    e = engine(spark, sf_dir, policy=POLICY)
+    asked = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "c_nothing"]
+    answers = [(c, e.dispatch("query", {"table": "orders", "columns": [f"customer.{c}"], "limit": 3})) for c in asked]
+    return spark.createDataFrame([(c, a["error"]["type"] if "error" in a else f"{len(a['rows'])} rows") for c, a in answers], "column string, answer string")
+
+
+POLICED = [("c_custkey", "3 rows"), ("c_name", "SensitiveColumnError"), ("c_nationkey", "3 rows"), ("c_acctbal", "UnknownColumnError"), ("c_mktsegment", "3 rows"), ("c_nothing", "UnknownColumnError")]
+
+
 def related(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(r.source, r.name, r.target, "to_many" if r.to_many else "to_one") for r in catalog(spark, sf_dir).relationships]
     return spark.createDataFrame(rows, "source string, name string, target string, cardinality string")
@@ -235,8 +316,29 @@ def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, policy=POLICY, scope=scope).plan_query({"table": "customer", "group_by": ["c_mktsegment"], "measures": [measure("count")]}, separator="__").df
 
 
-def envelope(spark: SparkSession, sf_dir: str, tool: str, **arguments) -> DataFrame:
-    return spark.createDataFrame([(json.dumps(engine(spark, sf_dir).dispatch(tool, arguments)),)], "envelope string")
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = engine(spark, sf_dir).dispatch("list_tables", {})["tables"]
+    return spark.createDataFrame([(r["table"], r["purpose"], r["columns"]) for r in rows], "table string, purpose string, columns int")
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The card of orders: a row for each column, relationship, concept and measure."""
+    card = engine(spark, sf_dir).dispatch("describe_table", {"table": "orders"})
+    rows = [("column", c["name"], f"{c['kind']}{' key' if c.get('key') else ''}{' -> ' + c['references'] if 'references' in c else ''}") for c in card["columns"]]
+    rows += [("relationship", r["name"], f"{r['table']}{' many' if r.get('many') else ''}") for r in card["relationships"]]
+    rows += [(part, x["name"], "") for part in ("concept", "measure") for x in card[f"{part}s"]]
+    return spark.createDataFrame(rows, "part string, name string, says string")
+
+
+DESCRIBED = "SELECT 'column' AS part, column_name AS name, kind || CASE WHEN key_position > 0 THEN ' key' WHEN column_name = 'o_custkey' THEN ' -> customer.c_custkey' ELSE '' END AS says FROM c WHERE table_name = 'orders' UNION ALL SELECT * FROM (VALUES ('relationship', 'customer', 'customer'), ('relationship', 'lineitem', 'lineitem many'), ('concept', 'open', ''), ('measure', 'revenue', ''))"
+QUESTION = "Which customers in the building segment have open orders?"
+
+
+def context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with a card, in order of their rank, and tables with a line only."""
+    found = engine(spark, sf_dir).dispatch("get_context", {"question": QUESTION})
+    rows = [(part, i, t["table"]) for part, key in (("card", "tables"), ("line", "also")) for i, t in enumerate(found[key])]
+    return spark.createDataFrame(rows, "part string, position int, says string")
 
 
 def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,17 +393,33 @@ def queries() -> dict[str, Query]:
         "nearest_values": lambda s, d: retrieval.nearest_values(index(s, d), "customer", "c_mktsegment", "BILDING"),
         "cosine_topk": cosine,
         "rrf_fusion": fusion,
-        "cmd_list_tables": partial(envelope, tool="list_tables"),
-        "cmd_describe_table": partial(envelope, tool="describe_table", table="orders"),
-        "cmd_get_context": partial(envelope, tool="get_context", question="Which customers in the building segment have open orders?"),
+        "policy_hidden": policed,
+        "cmd_list_tables": listed,
+        "cmd_describe_table": described,
+        "cmd_get_context": context,
     }
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found = {k: v[1] for k, v in (SPECS | POLICY_SPECS).items()}
-    found |= {k: f"SELECT p_partkey, p_name FROM part WHERE {where}" for k, (_, _, _, where) in SEARCHES.items() if where}
+    in_sql = {"sounds": SOUNDS, "anvul": ANVUL, "alike": ALIKE}
+    found |= {k: f"SELECT p_partkey, p_name FROM part WHERE {where.format(**in_sql)}" for k, (_, _, _, where) in SEARCHES.items()}
     return found | {
+        "introspect_tables": listed_sql("table_name AS \"table\", CAST(count(*) AS INTEGER) AS columns, coalesce(string_agg(column_name, ',' ORDER BY key_position) FILTER (key_position > 0), '') AS primary_key", "GROUP BY 1"),
+        "introspect_columns": listed_sql('table_name AS "table", position, column_name AS "column", kind, type, true AS nullable, key_position'),
+        "relationships": f"SELECT * FROM {values_sql(RELATED, 'source, name, target, cardinality')}",
+        "policy_hidden": f'SELECT * FROM {values_sql(POLICED, chr(34) + "column" + chr(34) + ", answer")}',
+        "cmd_list_tables": listed_sql('table_name AS "table", purpose, CAST(count(*) AS INTEGER) AS columns', "GROUP BY 1, 2"),
+        "cmd_describe_table": f"{listed_sql('*').rpartition(' SELECT')[0]} {DESCRIBED}",
+        "cmd_get_context": f"SELECT * FROM {values_sql(CONTEXT, 'part, position, says')}",
+        "soundex_code": f"SELECT p_partkey, {soundex_sql('p_name')} AS code FROM part",
+        "soundex_any": f"SELECT p_partkey, list_contains({SOUNDS}, {ANVUL}) AS found FROM part",
+        "difference_score": f"SELECT p_partkey, CAST({ALIKE} AS INTEGER) AS score FROM (SELECT p_partkey, {soundex_sql('string_split(p_name, chr(32))[2]')} AS c FROM part)",
+        "tokenize": TOKENIZE_SQL,
+        "search_rows_default": SEARCH_SQL,
+        "value_match": f"{value_index_sql('i')} {MATCH_SQL}",
+        "nearest_values": f"{value_index_sql('i')} SELECT value, CAST(d AS BIGINT) AS distance FROM (SELECT value, CASE WHEN contains(lower(value), 'bilding') THEN 0 ELSE levenshtein(lower(value), 'bilding') END AS d FROM i WHERE \"table\" = 'customer' AND \"column\" = 'c_mktsegment') WHERE d <= 2 ORDER BY d, value LIMIT 5",
         "fk_integrity": integrity_sql(),
         "join_composite": "SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS turns__n_chars FROM conversations",
         "project_capped": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",

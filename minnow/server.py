@@ -1,6 +1,8 @@
 """A tool server on standard input and output: one JSON-RPC message a line.
 
-python -m minnow.server DATA TABLE[,TABLE] [--metadata FOLDER] [--tier standard]
+python -m minnow.server DATA TABLE[,TABLE] [--keys FILE] [--metadata FOLDER] [--tier standard]
+
+The file of --keys is JSON: {"primary": {table: [column]}, "foreign": [{"table", "columns", "target", "target_columns"}]}.
 """
 
 from __future__ import annotations
@@ -8,14 +10,16 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import SparkSession
 
 from minnow import tools
-from minnow.catalog import Catalog
+from minnow.catalog import Catalog, ForeignKey
 from minnow.editing import FULL, Workbench
-from minnow.engine import Engine
+from minnow.engine import Engine, Switches, as_text
+from minnow.errors import KeyConfigError
 from minnow.metadata import Editor, Metadata, Store
 from minnow.sources.tables import parquet_dir
 
@@ -46,13 +50,14 @@ def result(engine: Engine | Workbench, method: str, params: dict[str, Any], tier
     if method == "ping":
         return {}
     if method == "tools/list":
-        return {"tools": tools.protocol(tier)}
+        return {"tools": tools.protocol(tier, engine)}
     if method == "tools/call":
         name, arguments = params.get("name"), params.get("arguments", {})
-        if name not in tools.specs(tier) or not isinstance(arguments, dict):
+        if name not in tools.specs(tier, engine) or not isinstance(arguments, dict):
             raise Refused(PARAMS, "name is a listed tool and arguments is an object")
         out = tools.call(engine, name, arguments, tier)
-        return {"content": [{"type": "text", "text": json.dumps(out, ensure_ascii=False)}], "structuredContent": out, "isError": "error" in out}
+        structured = {} if arguments.get("format") == "compact" else {"structuredContent": out}
+        return {"content": [{"type": "text", "text": as_text(out, arguments)}], **structured, "isError": "error" in out}
     raise Refused(METHOD, f"unknown method {method!r}")
 
 
@@ -81,20 +86,32 @@ def answer(engine: Engine | Workbench, line: str, tier: str = "standard") -> str
     return json.dumps({"jsonrpc": "2.0", "id": key} | reply, ensure_ascii=False, allow_nan=False)
 
 
+def keys(text: str) -> tuple[dict[str, tuple[str, ...]], list[ForeignKey]]:
+    """Primary and foreign keys from the JSON of --keys."""
+    try:
+        found = json.loads(text)
+        primary = {t: tuple(c) for t, c in found.get("primary", {}).items()}
+        return primary, [ForeignKey(k["table"], tuple(k["columns"]), k["target"], tuple(k.get("target_columns", ()))) for k in found.get("foreign", [])]
+    except (ValueError, KeyError, TypeError, AttributeError):
+        raise KeyConfigError("the file of keys is {primary: {table: [column]}, foreign: [{table, columns, target, target_columns}]}") from None
+
+
 def main() -> None:
     p = argparse.ArgumentParser(description="Serve tables of a Parquet folder as tools.")
     p.add_argument("data")
     p.add_argument("tables", type=lambda x: x.split(","))
+    p.add_argument("--keys")
     p.add_argument("--metadata")
     p.add_argument("--tier", choices=tools.ALL_TIERS, default="standard")
     a = p.parse_args()
     if a.tier == FULL and not a.metadata:
         p.error("--tier full edits the files of --metadata")
     spark = SparkSession.builder.appName("minnow").getOrCreate()
-    catalog = Catalog(parquet_dir(spark, a.data, a.tables))
+    primary, foreign = keys(Path(a.keys).read_text(encoding="utf-8")) if a.keys else ({}, [])
+    catalog = Catalog(parquet_dir(spark, a.data, a.tables), primary, foreign)
     engine: Engine | Workbench
     if a.tier == FULL:
-        engine = Workbench(Editor(Store(a.metadata), lambda m: m.apply(spark, catalog)))
+        engine = Workbench(Editor(Store(a.metadata), lambda m: m.apply(spark, catalog, switches=Switches(allow_metadata_writes=True))))
     else:
         engine = (Store(a.metadata).load() if a.metadata else Metadata()).apply(spark, catalog)
     for line in sys.stdin:

@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
+from minnow.errors import SourceError
+from minnow.sources import jdbc as J
+
+Frames = dict[str, Callable[[], DataFrame]]
+
+
+def parquet_dir(spark: SparkSession, path: str, names: Iterable[str]) -> Frames:
+    """A table is a file or folder name.parquet; it is opened when it is first asked for."""
+    return {n: partial(spark.read.parquet, f"{path.rstrip('/')}/{n}.parquet") for n in names}
+
+
+def folded(names: Iterable[tuple[str, str]], current: str) -> dict[str, str]:
+    """Full names by the names that tables go by: those of the current database without it, others with it.
 
-def parquet_dir(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path.rstrip('/')}/{n}.parquet") for n in names}
+    Names that differ in case alone would not be told apart by callers and are refused.
+    """
+    out = {table if database == current else f"{database}.{table}": f"{database}.{table}" for database, table in names}
+    if len({n.lower() for n in out}) < len(out):
+        raise SourceError("two tables have names that differ in case alone")
+    return out
 
 
-def spark_catalog(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
-    listed = spark.catalog.listTables(database) if database else spark.catalog.listTables()
-    return {t.name: spark.table(f"{database}.{t.name}" if database else t.name) for t in listed}
+def spark_catalog(spark: SparkSession, *databases: str) -> Frames:
+    """Tables of these databases of the session's catalog, or of the current one."""
+    current = spark.catalog.currentDatabase()
+    found = [(d, t.name) for d in databases or (current,) for t in spark.catalog.listTables(d) if not t.isTemporary]
+    views = {t.name: partial(spark.table, t.name) for t in spark.catalog.listTables(current) if t.isTemporary}
+    return views | {n: partial(spark.table, full) for n, full in folded(found, current).items()}
 
 
-def jdbc(spark: SparkSession, url: str, names: list[str], **options: str) -> dict[str, DataFrame]:
-    return {n: spark.read.format("jdbc").options(url=url, dbtable=n, **options).load() for n in names}
+def jdbc(spark: SparkSession, url: str, names: Iterable[str], **options: str) -> Frames:
+    return {n: spark.read.format("jdbc").options(url=url, dbtable=n, **options).load for n in names}
 
 
-ADAPTERS = {"parquet_dir": parquet_dir, "spark_catalog": spark_catalog, "jdbc": jdbc}
+ADAPTERS = {"parquet_dir": parquet_dir, "spark_catalog": spark_catalog, "jdbc": jdbc, "jdbc_catalog": J.catalog}
 
 
 def key_violations(child: DataFrame, columns: tuple[str, ...], parent: DataFrame, parent_columns: tuple[str, ...]) -> DataFrame:
