@@ -6,7 +6,8 @@ import pytest
 from minnow import server, tools
 from minnow.catalog import Catalog
 from minnow.editing import FULL, Workbench
-from minnow.engine import Engine
+from minnow.engine import Engine, Switches
+from minnow.errors import ReadOnlyError
 from minnow.metadata import Editor, Store
 
 
@@ -15,7 +16,7 @@ def bench(spark, tmp_path):
     catalog = Catalog({"fish": spark.createDataFrame([(1, "carp"), (2, "pike")], "id long, name string")}, {"fish": ("id",)})
     (tmp_path / "tables").mkdir()
     (tmp_path / "tables/fish.md").write_text("# fish\n\nformat: 1\npurpose: Kinds.\n\n## Columns\n\n- id [hidden]: Key.\n")
-    return Workbench(Editor(Store(tmp_path), lambda m: m.apply(spark, catalog)))
+    return Workbench(Editor(Store(tmp_path), lambda m: m.apply(spark, catalog, switches=Switches(allow_metadata_writes=True))))
 
 
 def test_edits_are_tools_of_the_full_tier(bench):
@@ -25,7 +26,7 @@ def test_edits_are_tools_of_the_full_tier(bench):
         assert set(schema["properties"]) == set(parameters)
         assert schema["required"] == [k for k, p in parameters.items() if p.default is p.empty]
     assert {x["name"] for x in tools.protocol(FULL) if not x["annotations"]["readOnlyHint"]} == set(tools.ADDED[FULL])
-    assert bench.dispatch("edit_table", {"table": "fish", "purpose": "x"}, "standard")["error"]["type"] == "UnknownNameError"
+    assert bench.dispatch("edit_table", {"table": "fish", "purpose": "x"}, "standard")["error"]["type"] == "UnknownToolError"
 
 
 def test_an_edit_is_seen_at_once(bench):
@@ -57,3 +58,10 @@ def test_the_audit_hook_learns_no_value(spark):
     assert [(s.command, s.values, s.rows) for s in seen] == [("query", 2, 1), ("search_rows", 1, 1)]
     assert json.loads(seen[0].shape)["filters"] == [["name", "in"]] and all(s.seconds > 0 for s in seen)
     assert not any(word in str(s) for s in seen for word in ("pike", "eel", "carp"))
+
+
+def test_edits_are_refused_unless_allowed(spark, bench):
+    bench.editor.engine.switches = Switches()
+    assert bench.dispatch("edit_table", {"table": "fish", "purpose": "x"})["error"]["type"] == "UnknownToolError" and "edit_table" not in tools.specs(FULL, bench)
+    with pytest.raises(ReadOnlyError):
+        bench.edit_table("fish", purpose="x")

@@ -92,7 +92,7 @@ def test_engine_follows_the_files(spark, catalog, store):
         e.query(table="sales", columns=["memo"])
     with pytest.raises(SensitiveColumnError):
         e.query(table="sales", columns=["amount"])
-    assert e.searchable == {"sales": ("state",)} and e.glossary == {"Deal": "A sale."}
+    assert e.searchable == {"sales": ("state",)} and [(t.name, t.text, t.tables) for t in e.glossary] == [("Deal", "A sale.", ("sales",))]
 
 
 @pytest.mark.parametrize(("old", "new"), [("- state [", "- stage ["), ("renames: buyers", "renames: nobody"), ('"column": "state"', '"column": "stage"'), ('"fn": "count"', '"fn": "mode"'), ('[{"column"', '{"column"')])
@@ -130,9 +130,41 @@ def test_edits(spark, catalog, store):
 
 
 def test_project_settings_reach_the_value_index(spark, catalog, store):
-    (store.root / "project.md").write_text("# project\n\nformat: 1\nvalue_index_max_distinct: 1\nsamples_per_column: 1\n")
+    (store.root / "project.md").write_text("# project\n\nformat: 1\nvalue_index: on\nvalue_index_max_distinct: 1\nsamples_per_column: 1\n")
     rows = store.load().apply(spark, catalog).value_index().collect()
     assert {(r["table"], r["column"], r["value"], r["complete"]) for r in rows} == {("buyers", "name", "Ann", False), ("sales", "state", "open", False)}
     (store.root / "project.md").write_text("# project\n\nformat: 1\nvalue_index: off\n")
     e = store.load().apply(spark, catalog)
     assert e.value_index().count() == 0 and e.get_context("which sales are open")["values"] == []
+
+
+def test_what_is_written_is_seen(spark, catalog, store):
+    e = store.load().apply(spark, catalog)
+    card = e.describe_table("sales")
+    assert card["description"] == "One row a sale." and card["synonyms"] == ["deals"] and card["measures"] == [{"name": "n_sales", "text": "Number of sales."}]
+    assert card["columns"][2] == {"name": "state", "kind": "text", "type": "string", "text": "How far it is.", "values": ["open", "done"], "searchable": True}
+    assert [r["text"] for r in card["relationships"]] == ["Who bought."] and e.get_context("deals")["tables"][0]["table"] == "sales"
+    editor = Editor(store, lambda m: m.apply(spark, catalog), lambda: dt.date(2026, 9, 13))
+    editor.edit_column("sales", "state", text="Stage of it.", synonyms="phase")
+    assert "Stage of it." in str(editor.engine.describe_table("sales")) and editor.engine.get_context("which phase")["tables"][0]["table"] == "sales"
+
+
+def test_problems_are_told_file_by_file(spark, catalog, store):
+    assert store.load().problems(spark, catalog) == []
+    (store.root / "tables/sales.md").write_text(SALES.replace("- state [", "- stage ["))
+    (store.root / "glossary.md").write_text("# glossary\n\nformat: 1\n\n## Terms\n\n- Deal: A sale.\n  - tables: nothing\n")
+    assert len(store.load().problems(spark, catalog)) == 2
+
+
+def test_the_value_index_is_off_unless_written_on(spark, catalog, store):
+    assert store.load().apply(spark, catalog).index_cap == 0
+    (store.root / "project.md").write_text("# project\n\nformat: 1\nvalue_index: on\n")
+    assert store.load().apply(spark, catalog).index_cap == 200
+
+
+def test_an_edit_that_reads_back_otherwise_is_refused(spark, catalog, store):
+    editor = Editor(store, lambda m: m.apply(spark, catalog))
+    before = store.text("tables", "sales")
+    with pytest.raises(MetadataError):
+        editor.edit_table("sales", purpose="a\nsynonyms: b")
+    assert store.text("tables", "sales") == before

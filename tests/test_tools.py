@@ -6,6 +6,7 @@ import pytest
 from minnow import server, tools
 from minnow.catalog import Catalog
 from minnow.engine import TIERS, Engine
+from minnow.errors import KeyConfigError
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,17 @@ def test_server_errors(engine, message, code):
 
 def test_describe_is_refused_below_its_tier(engine):
     assert ask(engine, {"method": "tools/call", "params": {"name": "list_tables"}}, "minimal")["error"]["code"] == -32602
+
+
+def test_compact_answers_are_text(engine):
+    asked = {"method": "tools/call", "params": {"name": "query", "arguments": {"table": "fish", "format": "compact"}}}
+    out = ask(engine, asked)["result"]
+    assert out["content"][0]["text"] == "id|name\n1|carp\n2|pike" and "structuredContent" not in out
+
+
+def test_keys_of_the_server():
+    primary, foreign = server.keys('{"primary": {"a": ["id"]}, "foreign": [{"table": "b", "columns": ["a_id"], "target": "a"}]}')
+    assert primary == {"a": ("id",)} and foreign[0].columns == ("a_id",) and server.keys("{}") == ({}, [])
+    for bad in ("{", "[]", '{"foreign": [{}]}'):
+        with pytest.raises(KeyConfigError):
+            server.keys(bad)
