@@ -4,8 +4,10 @@ zstandard ratios (raw bytes / compressed bytes) of the whole text and of fixed c
 within bands that depend on the length; text that compresses too well repeats itself, text that
 hardly compresses is noise.
 
-Defined cases: a null text counts as empty; texts without words fail the base rule; repeated rows
-each get their own result; other columns are ignored; an empty table gives an empty result.
+Defined cases: a null text counts as empty; texts without words fail the base rule; a text of any
+length is compressed whole; ratios equal to a limit are inside, a share of chunks equal to the limit is
+outside; repeated rows each get their own result; null doc_ids are kept; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ the statistics. Fitting takes at most SAMPLE labelled rows, those with the least
 Defined cases: null counts as the empty text, whose statistics are all 0; repeated rows each get a
 score; documents without a label are scored like others; labels that are null or have no document
 are not learned from; with fewer than two classes the score is the share of label 1 (0.5 without
-labels); an empty table gives an empty result; other columns are ignored.
+labels); a text of any length is read whole; of rows with one hash of doc_id those with the least id and
+statistics are learned from first; null doc_ids are scored; a score of 0.5 predicts 1; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -97,7 +97,8 @@ def place(rows: DataFrame, directory: DataFrame, first: int, stuck: DataFrame |
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Write whole documents under path, one directory a shard; return the directory of shards.
 
-    A row's hash gives its shard. Rows in overflow pages are numbered within the stored part of the table
+    Every row is written once, whatever its nulls and copies; an empty table writes no shard. A row's hash gives its
+    shard. Rows in overflow pages are numbered within the stored part of the table
     they are in, from where the parts before it end, so that no task gets all copies of a row.
     """
     placed = stored(assigned(docs, limit))
