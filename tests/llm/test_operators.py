@@ -177,6 +177,31 @@ def test_partner_that_is_not_among_the_nearest(spark):
     assert got == want
 
 
+def test_links_of_real_documents_by_brute_force(spark):
+    """All links of weighted similarity >= 0.8 among the documents of sf0.01, found by shared shingles, end in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, words(r.text)) for r in docs.collect()]
+    rows = [(i, w) for i, w in rows if w]
+    sets = [collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) for _, w in rows]
+    df = collections.Counter(x for s in sets for x in s)
+    weight = {x: 1 + neardup.DAMP * round((neardup.LEVELS - 1) * math.log(max(n / len(rows), neardup.FLOOR)) / math.log(neardup.FLOOR)) / (neardup.LEVELS - 1) for x, n in df.items()}
+    total = [sum(n * weight[x] for x, n in s.items()) for s in sets]
+    holders = collections.defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            if df[x] > 1:
+                holders[x].append(k)
+    common = collections.defaultdict(float)
+    for x, ks in holders.items():
+        for a, i in enumerate(ks):
+            for j in ks[a + 1 :]:
+                common[i, j] += min(sets[i][x], sets[j][x]) * weight[x]
+    links = [(rows[i][0], rows[j][0]) for (i, j), low in common.items() if low >= 0.8 * (total[i] + total[j] - low)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    lost = [x for x in links if got[x[0]] != got[x[1]]]
+    assert len(links) > 20 and len(lost) <= 0.01 * len(links), lost
+
+
 def test_pairs_just_over_the_threshold(spark):
     # 1500 separate pairs of weighted similarity 0.808; at most 0.2 % may be missed.
     rows = []
