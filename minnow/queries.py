@@ -385,7 +385,7 @@ def queries() -> dict[str, Query]:
         "levenshtein_distance": lambda s, d: words(s, d, distance=X.distance(F.col("p_name"), F.lit("blue anvil")).cast("long"), bounded=X.distance(F.col("p_name"), F.lit("blue anvil"), 3).cast("long")),
         "levenshtein_min": lambda s, d: words(s, d, distance=X.distance_min(F.col("p_name"), F.lit("Anvul")).cast("long")),
         "levenshtein_within": lambda s, d: one("part")(s, d).filter(F.levenshtein("p_name", F.lit("blue anvil"), 4).between(0, 4)).select("p_partkey", "p_name"),
-        "fulltext_match": lambda s, d: one("documents")(s, d).filter(F.array_contains(X.plain_tokens(F.col("text")), "ertion")).select("doc_id"),
+        "fulltext_match": lambda s, d: one("documents")(s, d).filter(F.array_contains(X.tokens(F.col("text")), "ertion")).select("doc_id"),
         "tokenize": lambda s, d: one("part")(s, d).select("p_partkey", F.array_join(X.tokens(F.concat("p_name", F.lit(" HTTPServers boxesOf classes parties"))), " ").alias("tokens")),
         "bm25_documents": bm25,
         "value_index": index,
@@ -432,7 +432,7 @@ def oracle_sql() -> dict[str, str]:
         "levenshtein_distance": "SELECT p_partkey, levenshtein(p_name, 'blue anvil') AS distance, least(levenshtein(p_name, 'blue anvil'), 4) AS bounded FROM part",
         "levenshtein_min": f"SELECT p_partkey, {LEVENSHTEIN_MIN_SQL} AS distance FROM part",
         "levenshtein_within": "SELECT p_partkey, p_name FROM part WHERE levenshtein(p_name, 'blue anvil') <= 4",
-        "fulltext_match": "SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^a-z0-9]+'), 'ertion')",
+        "fulltext_match": f"SELECT doc_id FROM documents WHERE list_contains({tokens_sql('text')}, 'ertion')",
         "bm25_documents": BM25_SQL,
         "value_index": value_index_sql(),
         "cosine_topk": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings q WHERE q.vec_id = 0 ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, a.vec_id LIMIT 10",
