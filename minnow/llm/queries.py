@@ -102,7 +102,7 @@ WITH r AS (
   FROM documents
 ), l AS (SELECT CAST(range AS INTEGER) AS depth FROM range(0, 65)),
 t AS (SELECT depth, substr(path, 1, depth) AS shard, sum(n_bytes) AS b FROM r, l GROUP BY 1, 2),
-p AS (SELECT path, min(t.depth) AS depth FROM (SELECT DISTINCT path FROM r) q, t WHERE t.shard = substr(path, 1, t.depth) AND b <= {limit} GROUP BY 1),
+p AS (SELECT path, min(t.depth) AS depth FROM (SELECT DISTINCT path, depth, substr(path, 1, depth) AS shard FROM r, l) q JOIN t USING (depth, shard) WHERE b <= {limit} GROUP BY 1),
 c AS (
   SELECT doc_id, path, n_bytes, greatest(1, {limit} // greatest(n_bytes, 1)) AS per, count(*) OVER (PARTITION BY path, doc_id, n_bytes) AS n,
     (row_number() OVER (PARTITION BY path, doc_id, n_bytes) - 1) // greatest(1, {limit} // greatest(n_bytes, 1)) AS page
