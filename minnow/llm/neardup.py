@@ -453,19 +453,32 @@ def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
     return stored(known.union(single))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, hash (of doc_id and text), key, root, class_id (least doc_id), class_size (rows) of each row; key and root are null for texts without words."""
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, hash (of doc_id and text), key, root, class_size (rows) of each row, and best: null (is its id null?), doc_id and hash of the class's first row.
+
+    Key, root and best are null for texts without words. Classes are settled over distinct texts; rows are joined once,
+    by the key of their text.
+    """
     ship(docs.sparkSession)
     n, counts = document_frequencies(docs)
     level = levels(n, counts)
     facts = stored(signatures(docs, level))
-    at = F.min(F.struct("doc_id", "hash")).alias("at")
-    texts = facts.filter("key is not null").groupBy("key").agg(at, *(F.first(c).alias(c) for c in ("size", "bands", "marks")))
-    roots = Search(docs, stored(texts.select("key", "at.*", "size", "bands", "marks")), level).roots()
-    rows = facts.select("doc_id", "hash", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "hash", "key", F.coalesce("root", "key").alias("root"))
-    rows = stored(rows)
-    groups = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(groups, "root", "left").select("doc_id", "hash", "key", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    wordy = facts.filter("key is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
+    texts = stored(wordy.groupBy("key").agg(first, F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "bands", "marks"))))
+    roots = Search(docs, texts.select("key", "first.doc_id", "first.hash", "size", "bands", "marks"), level).roots()
+    of = texts.select("key", "first", "n").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    groups = of.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
+    of = stored(of.select("key", "root").join(groups, "root"))
+    bare = facts.filter("key is null").select("doc_id", "hash", "key")
+    rest = {"root": "binary", "class_size": "long", "best": of.schema["best"].dataType}
+    bare = bare.select("*", *((F.lit(1) if c == "class_size" else F.lit(None)).cast(kind).alias(c) for c, kind in rest.items()))
+    return wordy.select("doc_id", "hash", "key").join(of, "key").select("doc_id", "hash", "key", *rest).unionByName(bare)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, hash (of doc_id and text), key, root, class_id (least doc_id), class_size (rows) of each row; key and root are null for texts without words."""
+    return judged(docs).select("doc_id", "hash", "key", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"), "class_size")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -474,10 +487,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows are known by doc_id and a hash of both. Those that may be on the list of rows that go, by the bitmap of its
     hashes, are joined with it; the other texts are joined with nothing. Of rows equal in both, one stays.
     """
-    found = stored(classes(docs).filter("key is not null").groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n")))
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best")).select("root", F.col("best.doc_id").alias("best_id"), F.col("best.hash").alias("best_hash"))
-    judged = found.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("hash") == F.col("best_hash")))
-    listed = stored(judged.filter("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "stays"))
+    rows = judged(docs).filter("class_size > 1 and key is not null").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("hash") == F.col("best.hash")))
+    found = rows.groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "stays").agg(F.count("*").alias("n"))
+    listed = stored(found.filter("not stays or n > 1").select("__id", "__hash", "stays"))
     may, at = Members(listed, "__hash").test(F.xxhash64("doc_id", "text")), lambda c: F.col(f"d.`{c}`")
     on = (F.xxhash64(at("doc_id"), at("text")) == F.col("l.__hash")) & at("doc_id").eqNullSafe(F.col("l.__id"))
     some = docs.filter(may).alias("d")
