@@ -70,7 +70,8 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = ["1" + "".join(f" + {c}" for c in counts[:j]) for j in range(len(sizes) + 1)]
     hashes = F.expr(f"concat(array(cast(null as bigint)), {', '.join(f'transform({positions("__n", m)}, i -> {hash_at(m)})' for m in sizes)})" if sizes else "array(cast(null as bigint))")
     base = hashed(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), "text"), "doc_id", "__row")
-    rows = base.select("doc_id", "__row", "__n", "__w", F.posexplode_outer(hashes).alias("__k", "__g"))
+    # The array is a column before it is taken apart: so generator and lookup are compiled into one loop, and no window becomes a row of its own.
+    rows = base.withColumn("__x", hashes).select("doc_id", "__row", "__n", "__w", F.posexplode_outer("__x").alias("__k", "__g"))
     if sizes:
         rows = rows.filter(F.col("__g").isNull() | Members(grams, "__g").test(F.col("__g")))
     which = lambda values: F.expr("CASE WHEN __k = 0 THEN 0 " + " ".join(f"WHEN __k < {before[j + 1]} THEN {values[j]}" for j in range(len(sizes))) + " END")
