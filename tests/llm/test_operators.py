@@ -119,7 +119,7 @@ def family():
     return rows
 
 
-@pytest.mark.parametrize("group", [8, 64, 2048])
+@pytest.mark.parametrize("group", [8, 2048])
 def test_buckets_of_many_parts(spark, monkeypatch, group):
     monkeypatch.setattr(neardup, "GROUP", group)
     base = [f"w{i}" for i in range(200)]
@@ -129,7 +129,7 @@ def test_buckets_of_many_parts(spark, monkeypatch, group):
     rows = family() + near
     found, want = weighted_classes(rows)
     got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want and (1060, 1007) in found
+    assert got == want and (1060, 1007) in found and [x for x in found if x[0] < 1000] == [(i + 1, i) for i in range(120, 180, 2)]
 
 
 def weighted_classes(rows):
@@ -154,14 +154,6 @@ def weighted_classes(rows):
     return found, least
 
 
-def test_family_with_a_shared_passage(spark):
-    rows = family()
-    found, want = weighted_classes(rows)
-    assert sorted(found) == [(i + 1, i) for i in range(120, 180, 2)]
-    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
-
-
 def test_partner_that_is_not_among_the_nearest(spark):
     # Each text t is linked with one member of a group of near copies only; the others are narrow misses.
     rows = []
