@@ -4,7 +4,8 @@ All visible text is emitted: paragraphs and headings stand between blank lines,
 lines of their own, list items behind their marker, table rows with cells padded to columns. Hidden
 are elements without a rendering, with the attribute hidden, with display:none, and with
 visibility:hidden where no element inside is visible again; declarations are taken from style
-attributes and from style elements with plain selectors (tag, .class, #id, tag.class, tag#id).
+attributes and from style elements with plain selectors (tag, .class, #id, tag.class, tag#id) that
+stand outside @-blocks.
 
 A column of a table is padded to its widest cell, but to no more than twice the mean width and
 WIDE characters, and a table whose padding would outweigh its text by far is not padded: output
@@ -51,7 +52,6 @@ SCOPES = frozenset("table td th caption button object template html".split())
 TAG = re.compile(r"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
-RULE = re.compile(r"([^{}@;]+)\{([^{}]*)\}")
 SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -82,11 +82,19 @@ class Rules:
         self.known: dict[tuple[str, str, str], dict[str, str]] = {}
 
     def add(self, sheet: str) -> None:
-        for selectors, body in RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
-            if says := {k.lower(): v.lower() for k, v in DECLARATION.findall(body)}:
-                for x in selectors.split(","):
-                    if (m := SELECTOR.match(x.strip())) and m[0]:
-                        self.known.setdefault(((m[1] or "").lower(), m[2] or "", m[3] or ""), {}).update(says)
+        """Rules of a sheet; those within @-blocks hold for some media only and are left out."""
+        sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)
+        open_, at = [], 0  # type: list[str], int
+        for m in re.finditer("[{}]", sheet):
+            inside, at = sheet[at : m.start()], m.end()
+            if m[0] == "{":
+                open_.append(inside.rpartition(";")[2].strip())
+            elif open_:
+                selectors = open_.pop()
+                if not any(x.startswith("@") for x in (*open_, selectors)) and (says := {k.lower(): v.lower() for k, v in DECLARATION.findall(inside)}):
+                    for x in selectors.split(","):
+                        if (found := SELECTOR.match(x.strip())) and found[0]:
+                            self.known.setdefault(((found[1] or "").lower(), found[2] or "", found[3] or ""), {}).update(says)
 
     def of(self, node: Node) -> dict[str, str]:
         """Declarations for an element: by tag, class and id, then its own style."""

@@ -273,6 +273,8 @@ def test_html_spans_and_visibility():
     assert html.render("a<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><br></div>z") == "a\nyes\nz"
     page = "<style>/* p{display:none} */ .h, p.q{color:red;display:none} #z{visibility:hidden}</style><p class='x h'>n</p><p class=q>n</p><div class=q>y</div><i id=z>n</i><p style='display:block' class=h>shown"
     assert html.render(page) == "y\n\nshown"
+    media = "<style>@import url(x); @media print { .a { color: red } .b { display: none } } .c { display: none } .d {</style><p class=b>b</p><p class=c>c</p><p class=d>d"
+    assert html.render(media) == "b\n\nd"
 
 
 def test_html_stays_in_proportion():
@@ -282,11 +284,11 @@ def test_html_stays_in_proportion():
     assert len(html.render(wide)) < 4 * len(wide)
     assert len(html.render("<table>" + "<tr><td>a" + "<td>b" * 100 + "<td>" + "c<br>" * 10_000 + "</table>")) < 100_000
     assert len(html.render("<table>" + "<tr><td colspan=1000>a<td>b" * 500 + "</table>")) < 10_000
-    for part in ("<div>", "<div><p>x", "<li><b>", "<b></i>"):
+    for start, part in (("<p><button>", "<div>"), ("<p><button>", "<div><p>x"), ("<p><button>", "<li><b>"), ("<p><button>", "<b></i>"), ("<style>", ".a, "), ("<style>", "{"), ("<style>", "a{display:none}"), ("<style>", "/*")):
         spent = []
         for n in (10_000, 80_000):
             began = time.process_time()
-            html.render("<p><button>" + part * n)
+            html.render(start + part * n)
             spent.append(time.process_time() - began)
         assert spent[1] < 24 * spent[0] + 1, part  # eight times as much for eight times the size, with room for noise
 
