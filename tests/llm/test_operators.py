@@ -681,6 +681,22 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_scratch_tables_are_shared_and_can_be_cleared(spark):
+    from types import SimpleNamespace
+
+    from minnow.llm import cluster
+
+    kept = cluster.stored(spark.range(3))
+    (path,) = {f.rsplit("/", 2)[0] for f in kept.inputFiles()}
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and path == cluster.folder(spark) and kept.count() == 3
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        cluster.folder(far)
+    cluster.clear(spark)
+    again = cluster.stored(spark.range(4))
+    assert again.count() == 4
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
