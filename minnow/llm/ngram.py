@@ -35,8 +35,8 @@ from minnow.llm.cluster import ship, stored
 END, START = K.mix(np.array([1, 2], np.uint64))
 #: Bytes of text in a chunk, and n-grams that one range adds up.
 CHUNK, RANGE = 8 << 20, 2_000_000
-#: Chunks that one task scores.
-TASK = 16
+#: Chunks that one task scores, some 70 MB with their counts.
+TASK = 8
 #: Roles of texts: counted and used to learn the weights against, held out for the weights, only scored.
 COUNTED, WEIGHTS, SCORED = 0, 1, 2
 BUCKETS = 32
@@ -255,7 +255,7 @@ def interpolated_scores(docs: DataFrame, fold: int = 10, held: int = 0, weights:
     chunks = stored(chunk_rows(docs, fold, held, weights))
     # A token takes some 2 bytes of codes; the number only sets how finely the hashes are cut.
     size, n = chunks.agg(F.sum(F.octet_length("codes") + F.octet_length("vocab") / 4), F.count("*")).first()
-    size, tasks = size or 0, max(math.ceil(n / TASK), min(n, 4 * docs.sparkSession.sparkContext.defaultParallelism), 1)
+    size, tasks = size or 0, max(math.ceil(n / TASK), 1)
     bits = max(0, int(np.ceil(np.log2(max(size / 2, 1) / RANGE))))
     answers = stored(requests(chunks, bits).repartition(max(tasks, 2 << bits), "grams", "part").groupBy("grams", "part").applyInArrow(answer, "chunk long, grams int, part long, train binary, counted binary"))
     sums = [unpack(r["train"], np.uint64).astype(np.int64) for r in answers.filter("chunk = -1 and grams = 1").select("train").toLocalIterator()]
