@@ -15,6 +15,7 @@ happens within the row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,29 +45,43 @@ MASK = "[SECRET]"
 ZERO = 48
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sums(lengths: Column) -> Column:
     """Running totals of an array of numbers, in blocks of the square root of its size."""
     none = F.array().cast("array<long>")
-    size = F.ceil(F.sqrt(F.greatest(F.size(lengths), F.lit(1)))).cast("int")
 
     def running(a: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("t"), none.alias("out"))
         return F.aggregate(a, start, lambda s, x: F.struct((s["t"] + x).alias("t"), F.concat(s["out"], F.array(s["t"] + x)).alias("out")), lambda s: s["out"])
 
-    firsts = F.when(F.size(lengths) > 0, F.sequence(F.lit(0), F.size(lengths) - 1, size)).otherwise(F.array().cast("array<int>"))
-    inner = F.transform(firsts, lambda i: running(F.slice(lengths, i + 1, size)))
-    before = F.concat(F.array(F.lit(0).cast("long")), running(F.transform(inner, lambda b: F.element_at(b, -1))))
-    return F.flatten(F.transform(F.arrays_zip(inner.alias("b"), F.slice(before, F.lit(1), F.size(inner)).alias("o")), lambda z: F.transform(z["b"], lambda x: x + z["o"])))
+    def blocks(a: Column) -> Column:
+        size = F.ceil(F.sqrt(F.greatest(F.size(a), F.lit(1)))).cast("int")
+        firsts = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1, size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(firsts, lambda i: running(F.slice(a, i + 1, size)))
+
+    def joined_up(inner: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("long")), running(F.transform(inner, lambda b: F.element_at(b, -1))))
+        return F.flatten(F.transform(F.arrays_zip(inner.alias("b"), F.slice(before, F.lit(1), F.size(inner)).alias("o")), lambda z: F.transform(z["b"], lambda x: x + z["o"])))
+
+    return bound(lengths, lambda a: bound(blocks(a), joined_up))
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, match, part>> of leftmost non-overlapping matches, in code points; part is the group's share of a match."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    ends = sums(F.transform(F.arrays_zip(gaps.alias("g"), whole.alias("m")), lambda z: (F.char_length(z["g"]) + F.char_length(z["m"])).cast("long")))
-    rows = F.arrays_zip(ends.alias("end"), whole.alias("match"))
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("gaps"))
     part = lambda m: F.regexp_extract(m, pattern, group) if group else m
-    return F.transform(rows, lambda r: F.struct((r["end"] - F.char_length(r["match"])).alias("start"), r["end"].alias("end"), r["match"].alias("match"), part(r["match"]).alias("part")))
+
+    def placed(f: Column) -> Column:
+        gaps = F.slice(f["gaps"], F.lit(1), F.size(f["whole"]))
+        ends = sums(F.transform(F.arrays_zip(gaps.alias("g"), f["whole"].alias("m")), lambda z: (F.char_length(z["g"]) + F.char_length(z["m"])).cast("long")))
+        rows = F.arrays_zip(ends.alias("end"), f["whole"].alias("match"))
+        return F.transform(rows, lambda r: F.struct((r["end"] - F.char_length(r["match"])).alias("start"), r["end"].alias("end"), r["match"].alias("match"), part(r["match"]).alias("part")))
+
+    return bound(found, placed)
 
 
 NO_MATCHES = "array<struct<start:bigint,end:bigint,match:string,part:string>>"
@@ -103,7 +118,7 @@ def window_entropy(text: Column, size: int = WINDOW) -> Column:
         start = F.struct(F.lit(chr(ZERO) * 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("best"))
         return F.aggregate(F.concat(fill, moves), start, step, lambda s: F.log2(n.cast("double")) - s["best"] / n)
 
-    return F.get(F.transform(F.array(F.split(text, "")), of), F.lit(0))
+    return bound(F.split(text, ""), of)
 
 
 def outside(base: Column, candidates: Column) -> Column:
