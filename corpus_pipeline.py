@@ -44,7 +44,7 @@ def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and their checks."""
-    return bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, keep=True).drop("decoded")
+    return bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, ("ids",))
 
 
 STAGES = [

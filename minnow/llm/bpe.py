@@ -3,7 +3,8 @@
 A sentencepiece BPE model is serialised straight from the rank file: every byte becomes one
 character, every vocabulary entry a piece whose score is its negative rank, normalisation is the
 identity. Texts are split by the pre-token pattern; each distinct pre-token is encoded once and
-kept in a bounded memo. Decoding maps ids back to their bytes.
+kept in a bounded memo, which a worker gives up at the end of a task. Decoding maps ids back to
+their bytes.
 
 Defined cases: null counts as the empty text (no ids); a text of any length is encoded whole; repeated
 rows each get a result; null doc_ids are kept; other columns are ignored; an empty table gives an empty
@@ -32,8 +33,10 @@ from minnow.llm.cluster import ship
 
 #: First of the 256 characters that stand for bytes.
 FIRST = 0x100
-#: Distinct pre-tokens that a worker keeps.
-MEMO = 400_000
+#: Distinct pre-tokens that a worker keeps: the frequent ones fit; more save no time, but some 250 bytes each are held.
+MEMO = 50_000
+#: Bytes of text that are encoded at once, unless a single text is longer.
+BLOCK = 1 << 18
 
 
 def varint(n: int) -> bytes:
@@ -128,8 +131,12 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, keep: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; with keep, also ids (binary) and decoded text.
+#: Further columns of encode_documents().
+KEPT = {"ids": (T.BinaryType(), pa.binary()), "decoded": (T.StringType(), pa.string())}
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, then those of ids (binary) and decoded (text) that keep names.
 
     path is the rank file's place on every worker, or the name of a file of public_tokenizers.
     """
@@ -138,18 +145,21 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            ids = c.encode([x or "" for x in batch.column(1).to_pylist()])
-            back = [c.decode(x) for x in ids]
-            columns = [
-                batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
-            ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep:
-                columns += [pa.array(ids, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in back], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    more = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())] if keep else []
+            rows: dict[str, list] = {x: [] for x in ("n_tokens", "ids_sha256", "decoded_sha256", *keep)}
+            for at, end, _, _ in K.blocks(batch.column(1), BLOCK):
+                for ids in c.encode([x or "" for x in batch.column(1).slice(at, end - at).to_pylist()]):
+                    back = c.decode(ids)
+                    rows["n_tokens"].append(len(ids) // 4)
+                    rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                    rows["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
+                    if "ids" in keep:
+                        rows["ids"].append(ids)
+                    if "decoded" in keep:
+                        rows["decoded"].append(back.decode("utf-8", "replace"))
+            kinds = {"n_tokens": pa.int64()} | {x: KEPT[x][1] for x in keep}
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kinds.get(name, pa.string())) for name, x in rows.items())], ["doc_id", *rows])
+        c.memo.clear()  # the worker lives on, for other stages too
+
+    more = [T.StructField(x, KEPT[x][0]) for x in keep]
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *more])
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -27,7 +27,7 @@ text.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -80,6 +80,17 @@ def word_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.column_stack([K.mix(K.row_sums(K.mix(h ^ K.mix(place + K.U64(s))).view(np.int64), bounds).view(K.U64) + n.astype(K.U64)) for s in (1, 1 << 40)])
 
 
+def sketched(columns: Iterable[pa.Array]) -> tuple[int, np.ndarray]:
+    """Number of texts with words, and the sketch of their distinct shingles (uint32, for fewer than 2**32 texts)."""
+    n, total = 0, np.zeros(SKETCH, np.uint32)
+    for column in columns:
+        for _, _, data, off in K.blocks(column, BLOCK):
+            rows, shingle, _, _ = shingles(data, off)
+            n += len(np.unique(rows))
+            np.add.at(total, (shingle & np.uint32(SKETCH - 1)).astype(np.intp), np.uint32(1))  # in place, without a second sketch
+    return n, total
+
+
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Number of texts with words, and the sketch of their distinct shingles: int64 counters, summed in two steps."""
     spark = docs.sparkSession
@@ -91,18 +102,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([int(x.sum()) % 16], pa.int32()), pa.array([z.compress(x.astype(np.int64).tobytes())], pa.binary())], ["part", "salt", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, held, size = np.zeros(SKETCH, np.int64), 0, [], 0
-        for batch in batches:
-            for _, _, data, off in K.blocks(batch.column(0), BLOCK):
-                rows, shingle, _, _ = shingles(data, off)
-                n += len(np.unique(rows))
-                held.append(shingle & np.uint32(SKETCH - 1))
-                size += len(shingle)
-                if size > SKETCH // 4:
-                    total += np.bincount(np.concatenate(held), minlength=SKETCH)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=SKETCH)
+        n, total = sketched(batch.column(0) for batch in batches)
         if n:
             parts = total.reshape(-1, PART)
             yield from emit({i: x for i, x in enumerate(parts) if x.any()} | {-1: np.array([n])})

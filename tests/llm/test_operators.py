@@ -503,6 +503,46 @@ def test_bpe(docs, empty):
     assert bpe.encode_documents(empty, queries.RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_holds_little_memory(spark, docs):
+    import itertools
+
+    import corpus_pipeline
+
+    path, pattern = queries.RANKS, public_tokenizers.PATTERN
+    names = ["".join(x) for x in itertools.islice(itertools.product(string.ascii_lowercase, repeat=4), 200_000)]
+    texts = [" ".join(names[i : i + 500]) for i in range(0, len(names), 500)]
+    c = bpe.Codec({bytes([i]): i for i in range(256)}, pattern)
+    assert [c.decode(x) for x in c.encode(texts)] == [x.encode() for x in texts] and len(c.memo) < 100_000
+    # Nothing is left of a task in workers that go on, and the pipeline's last stage gets no texts back.
+    assert bpe.encode_documents(docs, path, pattern).count() == docs.count()
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe.codec(path, pattern).memo)], pa.int64())], ["n"])
+
+    assert {r.n for r in docs.mapInArrow(held, "n long").collect()} == {0}
+    last = corpus_pipeline.encoded(spark, docs, SMALL)
+    assert "decoded#" not in last._jdf.queryExecution().analyzed().toString() and "ids" in last.columns
+    both = bpe.encode_documents(docs, path, pattern, ("decoded", "ids")).select("doc_id", "decoded", "ids")
+    assert by_id(r[:2] for r in both.collect()) == by_id((r.doc_id, r.text or "") for r in docs.collect())
+
+
+def test_sketch_is_summed_in_place():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    columns = [pa.array([" ".join(f"w{i}x{j}" for j in range(300)) for i in range(at, at + 100)] + ["", None]) for at in range(0, 5000, 100)]
+    neardup.sketched(columns[:1])
+    tracemalloc.start()
+    n, total = neardup.sketched(columns)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 5000 and total.sum() == 5000 * 296 and most < 2 * total.nbytes + (16 << 20), most
+
+
 def entropy(s):
     n = collections.Counter(s)
     return -sum(c / len(s) * math.log2(c / len(s)) for c in n.values())
